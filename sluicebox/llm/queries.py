@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicebox.llm import seen_keys
 from sluicebox.llm.top_n import top_n
+from sluicebox.session import cut_lineage
 from sluicebox.sources.tables import table
 
 
@@ -15,7 +17,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(totals, "category", "total_revenue", "product_name", 5).select("category", "rank", "product_name")
 
 
-QUERIES = {"p2_found": p2_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of raw_sales whose order_id is in clean_sales or an earlier row: coded sets, then the keys themselves."""
+    past = table(spark, sf_dir, "clean_sales").select("order_id")
+    new = table(spark, sf_dir, "raw_sales").select("row_id", "order_id")
+    found = seen_keys.seen_before(past, new, "order_id", "row_id")
+    return seen_keys.confirmed(found, past, "order_id").select("row_id")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theoretical and audited rate of wrong answers of deliberately coarse sets (8 bits)."""
+    past = table(spark, sf_dir, "clean_sales").select("order_id")
+    new = table(spark, sf_dir, "raw_sales").select("row_id", "order_id")
+    found = cut_lineage(seen_keys.seen_before(past, new, "order_id", "row_id", bits=8))
+    return seen_keys.audit(found, past, new, "order_id", 8)
+
+
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_rates": p6_rates}
 
 SQL = {
     "p2_found": """
@@ -23,4 +41,8 @@ SQL = {
             SELECT category, product_name, row_number() OVER (PARTITION BY category ORDER BY total_revenue DESC, product_name) AS rank
             FROM (SELECT DISTINCT * FROM top_products_by_category WHERE metric_type = 'revenue' AND total_revenue IS NOT NULL))
         WHERE rank <= 5""",
+    "p6_found": """
+        WITH new AS (SELECT row_id, lower(trim(order_id, ' ' || chr(9))) AS k FROM raw_sales)
+        SELECT row_id FROM (SELECT row_id, k, row_number() OVER (PARTITION BY k ORDER BY row_id) AS nth FROM new WHERE k <> '')
+        WHERE nth > 1 OR k IN (SELECT lower(trim(order_id, ' ' || chr(9))) FROM clean_sales WHERE order_id IS NOT NULL)""",
 }
