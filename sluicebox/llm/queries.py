@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicebox.llm import comparison_sql as sql
 from sluicebox.llm import seen_keys
+from sluicebox.llm.canonical import map_to_canonical
 from sluicebox.llm.top_n import top_n
 from sluicebox.session import cut_lineage
 from sluicebox.sources.tables import table
@@ -17,6 +19,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(totals, "category", "total_revenue", "product_name", 5).select("category", "rank", "product_name")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical entry of each freely typed category and region of raw_sales, or UNKNOWN."""
+    sales = table(spark, sf_dir, "raw_sales").select("row_id", "category", "region")
+    categories = table(spark, sf_dir, "common_categories").select(F.col("category").alias("label"), F.col("category").alias("canonical"))
+    regions = table(spark, sf_dir, "common_regions").select(F.col("region").alias("label"), F.col("region").alias("canonical"))
+    named = table(spark, sf_dir, "region_map").select(F.col("raw_label").alias("label"), "canonical")
+    return map_to_canonical(sales, "row_id", {"category": categories, "region": regions.unionByName(named)})
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of raw_sales whose order_id is in clean_sales or an earlier row: coded sets, then the keys themselves."""
     past = table(spark, sf_dir, "clean_sales").select("order_id")
@@ -33,16 +44,6 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen_keys.audit(found, past, new, "order_id", 8)
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_rates": p6_rates}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates}
 
-SQL = {
-    "p2_found": """
-        SELECT category, rank, product_name FROM (
-            SELECT category, product_name, row_number() OVER (PARTITION BY category ORDER BY total_revenue DESC, product_name) AS rank
-            FROM (SELECT DISTINCT * FROM top_products_by_category WHERE metric_type = 'revenue' AND total_revenue IS NOT NULL))
-        WHERE rank <= 5""",
-    "p6_found": """
-        WITH new AS (SELECT row_id, lower(trim(order_id, ' ' || chr(9))) AS k FROM raw_sales)
-        SELECT row_id FROM (SELECT row_id, k, row_number() OVER (PARTITION BY k ORDER BY row_id) AS nth FROM new WHERE k <> '')
-        WHERE nth > 1 OR k IN (SELECT lower(trim(order_id, ' ' || chr(9))) FROM clean_sales WHERE order_id IS NOT NULL)""",
-}
+SQL = {"p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}

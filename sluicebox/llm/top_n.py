@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluicebox.session import cut_lineage
 from sluicebox.sources.tables import broadcast_if_small
@@ -26,14 +27,14 @@ from sluicebox.sources.tables import broadcast_if_small
 CHUNK = 6
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _ordered(score: pd.Series) -> pd.Series:
     values = score.to_numpy(np.float64) + 0.0  # -0.0 becomes 0.0
     bits = values.view(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _common(low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series([len(os.path.commonprefix([bytes(a), bytes(b)])) for a, b in zip(low, high)], dtype="int32")
 
