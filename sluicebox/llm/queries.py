@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.llm import comparison_sql as sql
 from sluicebox.llm import seen_keys
+from sluicebox.llm.bpe import encode_corpus
 from sluicebox.llm.canonical import map_to_canonical
 from sluicebox.llm.top_n import top_n
 from sluicebox.session import cut_lineage
 from sluicebox.sources.tables import table
 
+#: Folder of the public vocabulary files, the same on every worker.
+TOKENIZERS = os.environ.get("SLUICEBOX_TOKENIZERS", "/opt/tokenizers")
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five products of highest revenue in each category, by bisection of the cutoffs."""
@@ -44,6 +50,11 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen_keys.audit(found, past, new, "order_id", 8)
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids}
 
 SQL = {"p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
