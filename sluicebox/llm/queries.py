@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.llm import comparison_sql as sql
-from sluicebox.llm import seen_keys
+from sluicebox.llm import distinct_counts, seen_keys
 from sluicebox.llm.bpe import encode_corpus
 from sluicebox.llm.canonical import map_to_canonical
 from sluicebox.llm.top_n import top_n
@@ -18,6 +18,32 @@ from sluicebox.sources.tables import table
 #: Folder of the public vocabulary files, the same on every worker.
 TOKENIZERS = os.environ.get("SLUICEBOX_TOKENIZERS", "/opt/tokenizers")
 
+#: Stated relative standard error of distinct counts, for the largest group.
+COUNT_ERROR = 0.005
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Keys and order_id of clean_sales, and the bitmap size: rows bound the different orders."""
+    sales = table(spark, sf_dir, "clean_sales")
+    keyed = sales.select("batch_id", F.date_from_unix_date(F.floor(F.col("sale_date") / 86400).cast("int")).cast("string").alias("day"), "category", "region", "order_id")
+    return keyed, distinct_counts.bitmap_size(sales.count(), COUNT_ERROR)
+
+
+def p1_distinct_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different orders per day, category, region and all their combinations, with the standard error."""
+    orders, m = _orders(spark, sf_dir)
+    keys = ["day", "category", "region"]
+    return distinct_counts.count_combinations(distinct_counts.bitmaps(orders, keys, "order_id", m), keys, m)
+
+
+def p1_batches_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different orders per category from the bitmaps of single batches, beside the sum of the batches' own counts."""
+    orders, m = _orders(spark, sf_dir)
+    parts = distinct_counts.bitmaps(orders.where("category IS NOT NULL"), ["batch_id", "category"], "order_id", m)
+    merged = distinct_counts.count_groups(distinct_counts.union_bitmaps(parts, ["category"]), ["category"], m)
+    single = distinct_counts.count_groups(parts, ["batch_id", "category"], m).groupBy("category").agg(F.round(F.sum("estimate"), 2).alias("batch_sum"))
+    return merged.join(single, "category")
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five products of highest revenue in each category, by bisection of the cutoffs."""
@@ -55,6 +81,6 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids}
+QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids}
 
-SQL = {"p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
+SQL = {"p1_distinct_orders": sql.P1_DISTINCT_ORDERS, "p1_batches_merged": sql.P1_BATCHES_MERGED, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
