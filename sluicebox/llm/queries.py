@@ -11,6 +11,7 @@ from sluicebox.llm import comparison_sql as sql
 from sluicebox.llm import distinct_counts, seen_keys
 from sluicebox.llm.bpe import encode_corpus
 from sluicebox.llm.canonical import map_to_canonical
+from sluicebox.llm.quantile_sketch import add_sketches, dyadic_sketches, percentiles
 from sluicebox.llm.top_n import top_n
 from sluicebox.session import cut_lineage
 from sluicebox.sources.tables import table
@@ -51,6 +52,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(totals, "category", "total_revenue", "product_name", 5).select("category", "rank", "product_name")
 
 
+SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of revenue and discount_percent per category, with the bound on the rank error."""
+    sales = table(spark, sf_dir, "clean_sales").select("category", "revenue", "discount_percent")
+    return percentiles(dyadic_sketches(sales, ["category"], ["revenue", "discount_percent"]), ["category"], SHARES)
+
+
+def p3_batches_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles from the sketches of single batches, added up."""
+    sales = table(spark, sf_dir, "clean_sales").select("batch_id", "category", "revenue", "discount_percent")
+    parts = dyadic_sketches(sales, ["batch_id", "category"], ["revenue", "discount_percent"])
+    return percentiles(add_sketches(parts, ["category"]), ["category"], SHARES)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical entry of each freely typed category and region of raw_sales, or UNKNOWN."""
     sales = table(spark, sf_dir, "raw_sales").select("row_id", "category", "region")
@@ -81,6 +98,6 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids}
+QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_batches_combined": p3_batches_combined, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids}
 
 SQL = {"p1_distinct_orders": sql.P1_DISTINCT_ORDERS, "p1_batches_merged": sql.P1_BATCHES_MERGED, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
