@@ -11,6 +11,7 @@ from sluicebox.llm import comparison_sql as sql
 from sluicebox.llm import distinct_counts, seen_keys
 from sluicebox.llm.bpe import encode_corpus
 from sluicebox.llm.canonical import map_to_canonical
+from sluicebox.llm.garbled import restore_garbled, train_on
 from sluicebox.llm.quantile_sketch import add_sketches, dyadic_sketches, percentiles
 from sluicebox.llm.top_n import top_n
 from sluicebox.session import cut_lineage
@@ -98,6 +99,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_batches_combined": p3_batches_combined, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least one character from a wrong decoding."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return restore_garbled(pages, "text", train_on(pages, "text"), restored="").where("garbled_chars > 0").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their restored text, and how many characters were garbled and lost."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return restore_garbled(pages, "text", train_on(pages, "text")).where("garbled_chars > 0").drop("text")
+
+
+QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_batches_combined": p3_batches_combined, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {"p1_distinct_orders": sql.P1_DISTINCT_ORDERS, "p1_batches_merged": sql.P1_BATCHES_MERGED, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
