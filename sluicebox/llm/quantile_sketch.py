@@ -3,7 +3,8 @@
 A value is encoded in CODE_BITS bits whose order is that of the values. For every resolution (the code
 without its last ``level`` bits) one Count-sketch holds the weights of the nodes: each row of cells adds
 a node's weight, with a random sign, to one cell, and the median over the rows estimates it. The
-coarsest resolutions are few nodes and are kept exactly. Sketches of parts, batches or days are added
+coarsest resolutions are few nodes and are kept exactly, and a group of few codes is kept as those codes
+until it grows. Sketches of parts, batches or days are added
 cell by cell, and a deletion is a weight of -1. A percentile is found by going down the levels, left
 or right by the estimated weight of the left child.
 
@@ -29,6 +30,8 @@ WIDTH_BITS, ROWS = 9, 5
 WIDTH, TOP = 1 << WIDTH_BITS, CODE_BITS - EXACT_BITS
 #: (group, code) weights that a task holds before it turns them into cells.
 HELD = 2_000_000
+#: Different codes up to which a group is kept as codes, and the level that stands for them.
+FEW, CODES = 400, -1
 _FLIP = np.uint64(1 << 63)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -76,6 +79,28 @@ def _add_packed(cells: np.ndarray, packed: bytes) -> None:
     np.add.at(cells, np.frombuffer(body[: held * 4], np.int32), np.frombuffer(body[held * 4 :], kind))
 
 
+def _pack_codes(codes: np.ndarray, weights: np.ndarray) -> bytes:
+    return codes.astype(np.int32).tobytes() + weights.astype(np.int64).tobytes()
+
+
+def _unpack_codes(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes with their summed weights."""
+    counts = [len(p) // 12 for p in packed]
+    codes = np.concatenate([np.frombuffer(p, np.int32, n) for p, n in zip(packed, counts)]).astype(np.int64)
+    weights = np.concatenate([np.frombuffer(p, np.int64, n, 4 * n) for p, n in zip(packed, counts)])
+    distinct, place = np.unique(codes, return_inverse=True)
+    summed = np.zeros(len(distinct), np.int64)
+    np.add.at(summed, place, weights)
+    return distinct[summed != 0], summed[summed != 0]
+
+
+def _packed_levels(codes: np.ndarray, weights: np.ndarray) -> list[tuple[int, bytes]]:
+    """(level, cells) of sorted distinct codes: as codes where they are few."""
+    if len(codes) <= FEW:
+        return [(CODES, _pack_codes(codes, weights))]
+    return [(level, _pack(cells)) for level, cells in sketch_codes(codes, weights)]
+
+
 def _cells(level: int) -> int:
     return 1 << EXACT_BITS if level == TOP else ROWS * WIDTH
 
@@ -118,6 +143,15 @@ def descend(levels: dict[int, np.ndarray], shares: np.ndarray) -> tuple[int, np.
     return total, decode_codes(node), np.sqrt(variance)
 
 
+def exact(codes: np.ndarray, weights: np.ndarray, shares: np.ndarray) -> tuple[int, np.ndarray]:
+    """Total weight and the value at each share of it, from all codes."""
+    reached = np.cumsum(weights)
+    if not len(codes) or reached[-1] <= 0:
+        return int(reached[-1]) if len(codes) else 0, np.full(len(shares), np.nan)
+    at = np.searchsorted(np.maximum.accumulate(reached), np.maximum(np.ceil(shares * reached[-1]), 1))
+    return int(reached[-1]), decode_codes(codes[at])
+
+
 def _schema(df: DataFrame, keys: list[str], column: str) -> T.StructType:
     kinds = {f.name: f for f in df.schema.fields}
     return T.StructType([*[kinds[k] for k in keys], T.StructField(column, T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("cells", T.BinaryType())])
@@ -153,7 +187,7 @@ def dyadic_sketches(df: DataFrame, keys: list[str], values: list[str], weight: s
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 key, value = names[int(groups[a]) // len(values)], values[int(groups[a]) % len(values)]
-                rows = [(*key, value, level, _pack(cells)) for level, cells in sketch_codes(codes[0][a:b] & ((1 << CODE_BITS) - 1), weights[0][a:b])]
+                rows = [(*key, value, *packed) for packed in _packed_levels(codes[0][a:b] & ((1 << CODE_BITS) - 1), weights[0][a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=schema.names)
             codes, weights, held = [], [], 0
 
@@ -190,38 +224,53 @@ def dyadic_sketches(df: DataFrame, keys: list[str], values: list[str], weight: s
 
 
 def add_sketches(parts: DataFrame, keys: list[str], column: str = "column") -> DataFrame:
-    """Sketches of the (coarser) ``keys``: the sums of those of ``parts``, one pair of cells in memory at a time."""
+    """Sketches of the (coarser) ``keys``: the sums of those of ``parts``, one set of cells in memory at a time.
+
+    A group may have both cells and codes; ``percentiles`` and later sums take them together.
+    """
     schema = _schema(parts, keys, column)
     by = [*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`"), F.col("level")]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cells, done = None, None, []
+        now, cells, held, done, types = None, None, [], [], None
+
+        def settle() -> None:
+            if now is None:
+                return
+            if now[-1] == CODES:
+                done.extend((*now[:-1], *packed) for packed in _packed_levels(*_unpack_codes(held)))
+            else:
+                done.append((*now, _pack(cells)))
 
         def full() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=schema.names)
             done.clear()
             return out
 
-        types = None
         for batch in batches:
             types = types or [batch.schema.field(i).type for i in range(len(keys) + 3)]
             for row in zip(*[batch.column(i).to_pylist() for i in range(len(keys) + 3)]):
                 if row[:-1] != now:
-                    if now is not None:
-                        done.append((*now, _pack(cells)))
-                        if len(done) >= 256:
-                            yield full()
-                    now, cells = row[:-1], np.zeros(_cells(row[-2]), np.int64)
-                _add_packed(cells, row[-1])
-        if now is not None:
-            done.append((*now, _pack(cells)))
+                    settle()
+                    if len(done) >= 256:
+                        yield full()
+                    now, held = row[:-1], []
+                    cells = np.zeros(_cells(row[-2]), np.int64) if row[-2] != CODES else None
+                if row[-2] == CODES:
+                    held.append(row[-1])
+                    if len(held) % 1024 == 0:
+                        held = [_pack_codes(*_unpack_codes(held))]
+                else:
+                    _add_packed(cells, row[-1])
+        settle()
+        if done:
             yield full()
 
     return parts.select(*by, "cells").repartition(*by).sortWithinPartitions(*by).mapInArrow(add, schema)
 
 
 def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], column: str = "column") -> DataFrame:
-    """(keys, column, share, value, weight, rank_error) from the sketches of ``keys``.
+    """(keys, column, share, value, weight, rank_error) from the summed sketches of ``keys``.
 
     ``value`` is the least value at or above which ``share`` of the weight has been met; null where the
     weight is not positive. ``rank_error`` is the bound on the error of the share.
@@ -231,15 +280,56 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], colum
         [*[kinds[k] for k in keys], kinds[column], *[T.StructField(n, t) for n, t in (("share", T.DoubleType()), ("value", T.DoubleType()), ("weight", T.LongType()), ("rank_error", T.DoubleType()))]]
     )
     wanted = np.array(shares, np.float64)
-
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        levels = {level: np.zeros(_cells(level), np.int64) for level in range(TOP + 1)}
-        for level, packed in zip(group["level"], group["cells"]):
-            _add_packed(levels[level], packed)
+    by = [*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`")]
+    width = len(by)
+
+    def find(codes: list[bytes], levels: dict[int, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+        if not levels:
+            total, value = exact(*_unpack_codes(codes), wanted)
+            return total, value, np.full(len(wanted), 1 / max(total, 1))
+        if codes:
+            for level, cells in sketch_codes(*_unpack_codes(codes)):
+                levels[level] = levels.get(level, 0) + cells
         total, value, error = descend(levels, wanted)
-        out = pd.DataFrame({"share": wanted, "value": value, "weight": total, "rank_error": (3 * error + 1) / max(total, 1)})
-        for i, name in enumerate([*keys, column]):
-            out.insert(i, name, [group[name].iloc[0]] * len(out))
-        return out
+        return total, value, (3 * error + 1) / max(total, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, codes, levels, names, found, types = None, [], {}, [], [], None
+
+        def full() -> pa.RecordBatch:
+            times = len(wanted)
+            heads = [pa.array([n[i] for n in names for _ in range(times)], types[i]) for i in range(width)]
+            value = np.concatenate([f[1] for f in found])
+            tail = [
+                pa.array(np.tile(wanted, len(found))),
+                pa.array(value, pa.float64(), mask=np.isnan(value)),
+                pa.array(np.repeat([f[0] for f in found], times), pa.int64()),
+                pa.array(np.concatenate([f[2] for f in found])),
+            ]
+            names.clear()
+            found.clear()
+            return pa.RecordBatch.from_arrays([*heads, *tail], names=schema.names)
+
+        for batch in batches:
+            types = types or [batch.schema.field(i).type for i in range(width)]
+            for row in zip(*[batch.column(i).to_pylist() for i in range(width + 2)]):
+                if row[:width] != now:
+                    if now is not None:
+                        names.append(now)
+                        found.append(find(codes, levels))
+                        if len(names) >= 512:
+                            yield full()
+                    now, codes, levels = row[:width], [], {}
+                level, packed = row[width:]
+                if level == CODES:
+                    codes.append(packed)
+                else:
+                    if level not in levels:
+                        levels[level] = np.zeros(_cells(level), np.int64)
+                    _add_packed(levels[level], packed)
+        if now is not None:
+            names.append(now)
+            found.append(find(codes, levels))
+            yield full()
 
-    return sketches.groupBy(*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`")).applyInPandas(find, schema)
+    return sketches.select(*by, "level", "cells").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)

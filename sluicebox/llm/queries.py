@@ -57,16 +57,20 @@ SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of revenue and discount_percent per category, with the bound on the rank error."""
-    sales = table(spark, sf_dir, "clean_sales").select("category", "revenue", "discount_percent")
-    return percentiles(dyadic_sketches(sales, ["category"], ["revenue", "discount_percent"]), ["category"], SHARES)
+    """Percentiles of revenue and discount_percent per category, of each batch and of all batches.
 
-
-def p3_batches_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same percentiles from the sketches of single batches, added up."""
+    Those of all (``batch_id`` null) come from the batches' sketches, added up. ``rank_error`` bounds the error of the share.
+    """
     sales = table(spark, sf_dir, "clean_sales").select("batch_id", "category", "revenue", "discount_percent")
-    parts = dyadic_sketches(sales, ["batch_id", "category"], ["revenue", "discount_percent"])
-    return percentiles(add_sketches(parts, ["category"]), ["category"], SHARES)
+    parts = cut_lineage(dyadic_sketches(sales, ["batch_id", "category"], ["revenue", "discount_percent"]))
+    single = percentiles(parts, ["batch_id", "category"], SHARES)
+    return single.unionByName(percentiles(add_sketches(parts, ["category"]), ["category"], SHARES), allowMissingColumns=True)
+
+
+def p3_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles of all batches from sketches made without regard to batches."""
+    sales = table(spark, sf_dir, "clean_sales").select("category", "revenue", "discount_percent")
+    return percentiles(dyadic_sketches(sales, ["category"], ["revenue", "discount_percent"]), ["category"], SHARES)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +115,6 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_garbled(pages, "text", train_on(pages, "text")).where("garbled_chars > 0").drop("text")
 
 
-QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_batches_combined": p3_batches_combined, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_whole_table": p3_whole_table, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {"p1_distinct_orders": sql.P1_DISTINCT_ORDERS, "p1_batches_merged": sql.P1_BATCHES_MERGED, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
