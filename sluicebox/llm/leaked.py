@@ -248,7 +248,12 @@ def _joined(passage: bytes, text: bytes, line: np.ndarray, before: tuple[int, in
         size = max(i2 - i1, j2 - j1)
         return edit_distance(passage[i1:i2], text[j1:j2]) <= max(2, (2 * size + 3) // 5)
     firm = i1 - a1 >= FIRM and b2 - i2 >= FIRM
-    return firm and abs(lost) <= TORN and lost < extra <= ADVERT and bool(line[j2] > line[max(j1 - 1, 0)])
+    if not (firm and abs(lost) <= TORN and lost < extra <= ADVERT):
+        return False
+    # the advert begins where a line ends and ends where one begins, but for a few letters that agree by chance
+    opens = line[min(j1 + TORN, len(line) - 1)] > line[max(j1 - 3, 0)]
+    closes = line[min(j2 + 2, len(line) - 1)] > line[max(j2 - TORN - 1, 0)]
+    return bool(opens and closes)
 
 
 def edit_distance(a: bytes, b: bytes) -> int:
@@ -307,7 +312,7 @@ def find_leaks(pages: DataFrame, page_id: str, text: str, boxes: str | None, ite
     ``boxes`` names an array of structs with the field x, one for each line of text; without it, or
     where their numbers differ, lines are read in their order. Null and empty texts and passages leak
     nothing; passages of fewer words can't be found. Each pair comes once, so pages that repeat an id
-    give it more than once.
+    give it more than once. A passage that runs on from one column into the next counts in each by itself.
     """
     chosen = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{passage}`").alias("p")).where("p IS NOT NULL AND i IS NOT NULL").limit(MOST_ITEMS + 1).collect()
     if len(chosen) > MOST_ITEMS:

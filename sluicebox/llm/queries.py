@@ -12,6 +12,7 @@ from sluicebox.llm import distinct_counts, seen_keys
 from sluicebox.llm.bpe import encode_corpus
 from sluicebox.llm.canonical import map_to_canonical
 from sluicebox.llm.garbled import restore_garbled, train_on
+from sluicebox.llm.leaked import find_leaks
 from sluicebox.llm.quantile_sketch import add_sketches, dyadic_sketches, percentiles
 from sluicebox.llm.top_n import top_n
 from sluicebox.session import cut_lineage
@@ -103,6 +104,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 16 consecutive words of a held-out passage, and which."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", "text", "line_boxes")
+    items = table(spark, sf_dir, "eval_items").select("item_id", "passage")
+    return find_leaks(pages, "doc_id", "text", "line_boxes", items, "item_id", "passage").select("doc_id", "item_id").distinct()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least one character from a wrong decoding."""
     pages = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -115,6 +123,6 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_garbled(pages, "text", train_on(pages, "text")).where("garbled_chars > 0").drop("text")
 
 
-QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_whole_table": p3_whole_table, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_whole_table": p3_whole_table, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {"p1_distinct_orders": sql.P1_DISTINCT_ORDERS, "p1_batches_merged": sql.P1_BATCHES_MERGED, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
