@@ -32,3 +32,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_valid": p5_valid, "p7_found": p7_found}
+
+_FIELD = '"(?:[^"]|"")*"|[^",]*'
+_VALUE = r"""trim(CASE WHEN f[{0}] LIKE '"%' THEN substr(f[{0}], 2, length(f[{0}]) - 2) ELSE f[{0}] END, ' ' || chr(9))"""
+_NUMBER = r"regexp_matches({0}, '^[0-9]+(\.[0-9]+)?$')"
+
+SQL: dict[str, str] = {
+    "p5_found": rf"""
+        WITH records AS (SELECT line_id, regexp_replace(line, '\r$', '') AS line FROM raw_lines),
+        parsed AS (SELECT line_id, regexp_matches(line, '^(?:{_FIELD})(?:,(?:{_FIELD}))*$') AS quoted, regexp_extract_all(',' || line, ',({_FIELD})', 1) AS f FROM records),
+        fields AS (SELECT *, {_VALUE.format(4)} AS quantity, {_VALUE.format(5)} AS price, {_VALUE.format(6)} AS discount FROM parsed),
+        judged AS (
+            SELECT line_id, CASE WHEN NOT quoted THEN 'bad_quoting' WHEN len(f) <> 10 THEN 'column_count' WHEN NOT regexp_matches(quantity, '^0*[1-9][0-9]*$') THEN 'bad_quantity'
+                WHEN NOT {_NUMBER.format('price')} OR try_cast(price AS DOUBLE) <= 0 OR try_cast(price AS DOUBLE) >= 50000 THEN 'bad_unit_price'
+                WHEN NOT {_NUMBER.format('discount')} OR try_cast(discount AS DOUBLE) > 1 THEN 'bad_discount_percent' END AS reason
+            FROM fields)
+        SELECT line_id, reason FROM judged WHERE reason IS NOT NULL""",
+}
