@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The characters that Unicode calls white space.
+WHITE_SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
-#: Each date shape with its parse pattern; years outside YEARS are no dates.
+#: Date shapes other than year-month-day, each with the order of its parts in that; years outside YEARS are no dates.
 DATE_SHAPES = (
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "y-M-d"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-y"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "y/M/d"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2"),
+    (r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", "$3-$2-$1"),
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),
 )
+YEAR_FIRST = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 YEARS = (1678, 2261)
 
 
 def normalise_string(column: Column) -> Column:
     """Text without Unicode white space around it; null becomes empty."""
-    return F.regexp_replace(F.coalesce(column.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(column.cast("string"), F.lit("")), F.lit(WHITE_SPACE))
 
 
 def to_number(column: Column) -> Column:
@@ -53,8 +55,9 @@ def clean_email(column: Column) -> Column:
 def parse_order_date(column: Column) -> Column:
     """Date in one of four shapes, else null."""
     text = normalise_string(column)
-    dates = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("date")) for shape, pattern in DATE_SHAPES]
-    date = F.coalesce(*dates)
+    for shape, parts in DATE_SHAPES:
+        text = F.regexp_replace(text, shape, parts)
+    date = F.when(text.rlike(YEAR_FIRST), F.try_to_timestamp(text, F.lit("y-M-d")).cast("date"))
     return F.when(F.year(date).between(*YEARS), date)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions import expressions as X
 from sluicebox.operators.dedup import mark_duplicates
-from sluicebox.operators.lookups import resolve_fuzzy, resolve_region
+from sluicebox.operators.lookups import attach_matches, attach_region, fuzzy_matches, region_labels
 from sluicebox.schemas import RAW_COLUMNS, REQUIRED_COLUMNS
 
 
@@ -31,24 +31,12 @@ def judge_orders(raw: DataFrame, categories: DataFrame, regions: DataFrame, conf
     if missing := [c for c in REQUIRED_COLUMNS if c not in raw.columns]:
         raise ValueError(f"raw orders lack the columns {missing}")
     rows = raw.select(F.col(order), *[(F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(f"raw_{c}") for c in RAW_COLUMNS])
-    rows = resolve_region(resolve_fuzzy(rows, "raw_category", categories, "category"), "raw_region", regions, "region")
-    date = X.parse_order_date(F.col("raw_sale_date"))
-    rows = rows.select(
-        "*",
-        X.normalise_string(F.col("raw_order_id")).alias("order_id"),
-        X.normalise_string(F.col("raw_product_name")).alias("product_name"),
-        X.clean_quantity(F.col("raw_quantity")).alias("quantity"),
-        X.clean_price(F.col("raw_unit_price")).alias("unit_price"),
-        X.clean_discount(F.col("raw_discount_percent")).alias("discount_percent"),
-        date.alias("__date"),
-        X.epoch_seconds(date).alias("sale_date"),
-        X.clean_email(F.col("raw_customer_email")).alias("customer_email"),
-    )
-    rows = rows.withColumn("revenue", X.order_revenue(F.col("unit_price"), F.col("quantity"), F.col("discount_percent")))
-    rows = rows.withColumn("anomaly_flag", X.heavy_discount_flag(F.col("discount_percent")))
-    as_of = F.lit(config.as_of).cast("date")
+    rows = rows.withColumn("order_id", X.normalise_string(F.col("raw_order_id"))).withColumn("product_name", X.normalise_string(F.col("raw_product_name")))
     no_key = (F.col("order_id") == "") | (F.col("product_name") == "")
-    later = [
+    # rows without a key take no part in deduplication: each has a key of its own
+    rows = rows.withColumn("__key", F.when(no_key, F.concat(F.lit("\u0000"), F.col(order).cast("string"))).otherwise(F.col("order_id")))
+    as_of = F.lit(config.as_of).cast("date")
+    rules = [
         (F.col("category").isNull(), "unknown_category"),
         (F.col("region").isNull(), "unknown_region"),
         (~((F.col("unit_price") > 0) & (F.col("unit_price") < 50_000)), "invalid_unit_price"),
@@ -57,13 +45,31 @@ def judge_orders(raw: DataFrame, categories: DataFrame, regions: DataFrame, conf
         (~X.in_date_range(F.col("__date"), as_of), "sale_date_out_of_range"),
         (~F.coalesce((F.col("revenue") >= 0) & (F.col("revenue") < 1_000_000), F.lit(False)), "invalid_calculated_revenue"),
     ]
-    rows = rows.withColumn("__later", F.coalesce(*[F.when(broken, F.lit(reason)) for broken, reason in later]))
-    # rows without a key take no part in deduplication: each has a partition of its own
-    rows = rows.withColumn("__key", F.when(no_key, F.concat(F.lit("\u0000"), F.col(order).cast("string"))).otherwise(F.col("order_id")))
-    rows = rows.withColumn("__passes", ~no_key & F.col("__later").isNull())
-    rows = mark_duplicates(rows, "__key", order, "__passes", config.chunk_size, "__duplicate")
-    reason = F.when(no_key, "missing_order_id_or_product").when(F.col("__duplicate"), "duplicate_order_id").otherwise(F.col("__later"))
-    return rows.withColumn("rejection_reason", reason).drop("__date", "__later", "__key", "__passes", "__duplicate")
+    broken = F.coalesce(*[F.when(rule, F.lit(reason)) for rule, reason in rules])
+
+    spellings, labels = fuzzy_matches(rows, "raw_category", categories), region_labels(regions)
+
+    def valued(some: DataFrame) -> DataFrame:
+        some = attach_region(attach_matches(some, "raw_category", spellings, "category"), "raw_region", labels, "region")
+        some = some.select(
+            "*",
+            X.clean_quantity(F.col("raw_quantity")).alias("quantity"),
+            X.clean_price(F.col("raw_unit_price")).alias("unit_price"),
+            X.clean_discount(F.col("raw_discount_percent")).alias("discount_percent"),
+            X.parse_order_date(F.col("raw_sale_date")).alias("__date"),
+        )
+        return some.withColumn("revenue", X.order_revenue(F.col("unit_price"), F.col("quantity"), F.col("discount_percent")))
+
+    marked = mark_duplicates(rows, "__key", order, lambda some: valued(some).withColumn("passes", ~no_key & broken.isNull()), config.chunk_size, "__duplicate")
+    judged = valued(marked)
+    reason = F.when(no_key, "missing_order_id_or_product").when(F.col("__duplicate"), "duplicate_order_id").otherwise(broken)
+    return judged.select(
+        "*",
+        X.epoch_seconds(F.col("__date")).alias("sale_date"),
+        X.clean_email(F.col("raw_customer_email")).alias("customer_email"),
+        X.heavy_discount_flag(F.col("discount_percent")).alias("anomaly_flag"),
+        reason.alias("rejection_reason"),
+    ).drop("__date", "__key", "__duplicate")
 
 
 def clean_rows(judged: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,23 @@ def mark_chunk_repeats(df: DataFrame, key: str, order: str, chunk_size: int, out
     return joined.withColumn(output, F.coalesce(F.col(order) > F.col("__first"), F.lit(False))).drop("__chunk", "__k", "__c", "__first", "__n")
 
 
-def mark_duplicates(df: DataFrame, key: str, order: str, passes: str, chunk_size: int = 100_000, output: str = "duplicate") -> DataFrame:
+def mark_duplicates(df: DataFrame, key: str, order: str, passes: str | Callable[[DataFrame], DataFrame], chunk_size: int = 100_000, output: str = "duplicate") -> DataFrame:
     """Duplicates as a chunk-wise reader with a memory of good keys would call them.
 
     A row is one if its key came earlier in its chunk, or if in an earlier chunk the key's first row
-    passed all rules (column ``passes``). With ``chunk_size=1`` only keys of good earlier rows count.
+    passed all rules. ``passes`` is a boolean column, or adds the column ``passes`` to rows of ``df``;
+    it is asked for the rows of repeated keys only. ``order`` is a unique bigint. With ``chunk_size=1``
+    only keys of good earlier rows count.
     """
+    repeated = df.groupBy(F.col(key).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__g")
+    suspects = df.join(repeated, F.col(key).eqNullSafe(F.col("__g")), "left_semi")
+    suspects = suspects.withColumn("passes", F.col(passes)) if isinstance(passes, str) else passes(suspects)
+    # first row and its verdict in one number, pre-aggregated per key and chunk: a key of many rows costs few
+    verdict = F.col(order) * 2 + F.when(F.col("passes"), 0).otherwise(1)
+    firsts = suspects.groupBy(F.col(key).alias("__k"), F.floor(F.col(order) / chunk_size).alias("__c")).agg(F.min(verdict).alias("__f"))
+    good = F.min(F.when(F.col("__f") % 2 == 0, F.col("__c"))).over(Window.partitionBy("__k"))
+    known = firsts.select("__k", "__c", F.floor(F.col("__f") / 2).alias("__first"), good.alias("__good"))
     rows = df.withColumn("__chunk", F.floor(F.col(order) / chunk_size))
-    slim = rows.select(F.col(key).alias("__k"), F.col("__chunk").alias("__c"), F.struct(F.col(order).alias("o"), F.col(passes).alias("p")).alias("r"))
-    # pre-aggregated per key and chunk, so a key of many rows costs few; only repeated keys are joined back
-    firsts = slim.groupBy("__k", "__c").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n"))
-    keys = firsts.groupBy(F.col("__k").alias("__g")).agg(F.sum("n").alias("n"), F.min(F.when(F.col("r.p"), F.col("__c"))).alias("__good")).where("n > 1")
-    known = firsts.join(keys, F.col("__k").eqNullSafe(F.col("__g"))).select("__k", "__c", F.col("r.o").alias("__first"), "__good")
     joined = rows.join(known, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__chunk") == F.col("__c")), "left")
     late = F.coalesce(F.col("__chunk") > F.col("__good"), F.lit(False))
     return joined.withColumn(output, F.coalesce(F.col(order) != F.col("__first"), F.lit(False)) | late).drop("__chunk", "__k", "__c", "__first", "__good")

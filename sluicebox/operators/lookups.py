@@ -43,29 +43,49 @@ def resolve_exact(df: DataFrame, column: str, canonical: DataFrame, output: str)
     return df.join(broadcast_if_small(named), F.lower(normalise_string(F.col(column))) == F.col("__k"), "left").drop("__k").withColumnRenamed("__c", output)
 
 
-def resolve_fuzzy(df: DataFrame, column: str, canonical: DataFrame, output: str, most: int = 2) -> DataFrame:
-    """``output`` by the canonical name of least edit distance, at most ``most``; ties to the first name.
+def fuzzy_matches(df: DataFrame, column: str, canonical: DataFrame, most: int = 2) -> DataFrame:
+    """(spelling, match): for each distinct spelling the canonical name of least edit distance, at most ``most``; ties to the first name.
 
-    Distinct values are resolved against the short list, then joined back: the work grows with the
-    different spellings, not the rows.
+    Distinct spellings are held against the short list: the work grows with them, not with the rows.
+    The result is marked for broadcast if it is small.
     """
-    values = df.select(F.lower(normalise_string(F.col(column))).alias("__v")).where("__v <> ''").distinct()
-    names = broadcast_if_small(canonical.select(F.col("canonical").alias("__c")).distinct())
-    pairs = values.join(names, F.levenshtein(F.col("__v"), F.lower("__c"), most) >= 0)
-    best = pairs.groupBy("__v").agg(F.min(F.struct(F.levenshtein(F.col("__v"), F.lower("__c")).alias("d"), "__c")).alias("b")).select("__v", F.col("b.__c").alias(output))
-    return df.join(broadcast_if_small(best), F.lower(normalise_string(F.col(column))) == F.col("__v"), "left").drop("__v")
+    values = df.select(F.lower(normalise_string(F.col(column))).alias("spelling")).where("spelling <> ''").distinct()
+    names = broadcast_if_small(canonical.select(F.col("canonical").alias("name")).distinct())
+    pairs = values.join(names, F.levenshtein(F.col("spelling"), F.lower("name"), most) >= 0)
+    nearest = F.min_by("name", F.struct(F.levenshtein(F.col("spelling"), F.lower("name")), "name"))
+    return broadcast_if_small(pairs.groupBy("spelling").agg(nearest.alias("match")))
 
 
-def resolve_region(df: DataFrame, column: str, mapping: DataFrame, output: str) -> DataFrame:
-    """``output`` by the exact label, else regardless of case; UNKNOWN and missing give null."""
-    label = normalise_string(F.col(column))
+def attach_matches(df: DataFrame, column: str, matches: DataFrame, output: str) -> DataFrame:
+    """``output`` from the result of ``fuzzy_matches``, null where a spelling has no match."""
+    found = matches.select(F.col("spelling").alias("__v"), F.col("match").alias(output))
+    return df.join(found, F.lower(normalise_string(F.col(column))) == F.col("__v"), "left").drop("__v")
+
+
+def resolve_fuzzy(df: DataFrame, column: str, canonical: DataFrame, output: str, most: int = 2) -> DataFrame:
+    """``output`` by the canonical name of least edit distance, at most ``most``; ties to the first name."""
+    return attach_matches(df, column, fuzzy_matches(df, column, canonical, most), output)
+
+
+def region_labels(mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Canonical region by exact label and by label regardless of case, each marked for broadcast if small."""
     exact = mapping.groupBy(F.col("raw_label").alias("__r")).agg(F.min("canonical").alias("__e"))
     folded = mapping.groupBy(F.lower("raw_label").alias("__l")).agg(F.min("canonical").alias("__f"))
-    joined = df.join(broadcast_if_small(exact), label == F.col("__r"), "left").join(broadcast_if_small(folded), F.lower(label) == F.col("__l"), "left")
+    return broadcast_if_small(exact), broadcast_if_small(folded)
+
+
+def attach_region(df: DataFrame, column: str, labels: tuple[DataFrame, DataFrame], output: str) -> DataFrame:
+    """``output`` by the exact label, else regardless of case; UNKNOWN and missing give null."""
+    label = normalise_string(F.col(column))
+    joined = df.join(labels[0], label == F.col("__r"), "left").join(labels[1], F.lower(label) == F.col("__l"), "left")
     found = F.coalesce("__e", "__f")
     return joined.withColumn(output, F.when(found != UNKNOWN, found)).drop("__r", "__e", "__l", "__f")
 
 
+def resolve_region(df: DataFrame, column: str, mapping: DataFrame, output: str) -> DataFrame:
+    return attach_region(df, column, region_labels(mapping), output)
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, count) of the normalised values, blanks included."""
     return df.select(normalise_string(F.col(column)).alias("value")).groupBy("value").count()

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from sluicebox.functions.expressions import DATE_SHAPES, NUMBER, YEARS
+from sluicebox.functions.expressions import NUMBER, YEAR_FIRST, YEARS
 from sluicebox.operators.names import BRANDS, CHARACTERS, MISSING_LETTERS
 
 #: The day that stands for today in the date rules.
 AS_OF = "2025-12-31"
 
 _SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_STRPTIME = {"y-M-d": "%Y-%m-%d", "M/d/y": "%m/%d/%Y", "d-M-y": "%d-%m-%Y", "y/M/d": "%Y/%m/%d"}
+_DATES = {YEAR_FIRST: "%Y-%m-%d", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$": "%m/%d/%Y", "^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$": "%d-%m-%Y", "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$": "%Y/%m/%d"}
 
 
 def _strip(column: str) -> str:
@@ -34,7 +34,7 @@ def _email(column: str) -> str:
 
 
 def _date(column: str) -> str:
-    shapes = ", ".join(f"CASE WHEN regexp_matches({_strip(column)}, '{shape}') THEN CAST(try_strptime({_strip(column)}, '{_STRPTIME[p]}') AS DATE) END" for shape, p in DATE_SHAPES)
+    shapes = ", ".join(f"CASE WHEN regexp_matches({_strip(column)}, '{shape}') THEN CAST(try_strptime({_strip(column)}, '{form}') AS DATE) END" for shape, form in _DATES.items())
     return f"(SELECT CASE WHEN year(d) BETWEEN {YEARS[0]} AND {YEARS[1]} THEN d END FROM (SELECT coalesce({shapes}) AS d))"
 
 
