@@ -12,7 +12,7 @@ from sluicebox.functions import expressions as X
 def typed_stream(raw: DataFrame, arrived: str = "received_at") -> DataFrame:
     """Typed values of a stream of raw orders, rows without id or product left out."""
     rows = raw.select(
-        F.col(arrived).alias("arrived"),
+        F.col(arrived).cast("timestamp").alias("arrived"),
         X.normalise_string(F.col("order_id")).alias("order_id"),
         X.normalise_string(F.col("product_name")).alias("product_name"),
         F.col("category"),
