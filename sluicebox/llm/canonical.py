@@ -107,7 +107,9 @@ def resolve_values(values: DataFrame, entries: DataFrame, similarity: float = SI
     listed = entries.withColumn("f", _folded("label")).select("field", "label", "canonical", "f.key", "f.tokens")
     listed = listed.where("key <> ''").groupBy("field", "key").agg(F.min_by(F.struct("canonical", "label", "tokens"), "label").alias("e")).select("field", "key", "e.*")
     typed = cut_lineage(typed)
-    keys = typed.where("key <> ''").select("field", "key", "tokens").dropDuplicates(["field", "key"])
+    # the length filter, once for all entries: values too long for any of them go no further, however long they are
+    most = (listed.agg(F.max(F.size("tokens"))).collect()[0][0] or 0) / similarity
+    keys = typed.where("key <> ''").where(F.size("tokens") <= most).select("field", "key", "tokens").dropDuplicates(["field", "key"])
     frequency = keys.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     frequency = listed.select(F.explode("tokens").alias("t")).distinct().join(frequency, "t", "full").select("t", F.coalesce("df", F.lit(0)).alias("df"))
     frequency = broadcast_if_small(frequency)
