@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluicebox.session import cut_lineage
+from sluicebox.sources.tables import broadcast_if_small
+
 
 def with_row_order(df: DataFrame, output: str = "row_index") -> DataFrame:
     """Consecutive row numbers in the order of file and position, without sorting into one partition.
@@ -45,6 +48,8 @@ def mark_duplicates(df: DataFrame, key: str, order: str, passes: str | Callable[
     firsts = suspects.groupBy(F.col(key).alias("__k"), F.floor(F.col(order) / chunk_size).alias("__c")).agg(F.min(verdict).alias("__f"))
     good = F.min(F.when(F.col("__f") % 2 == 0, F.col("__c"))).over(Window.partitionBy("__k"))
     known = firsts.select("__k", "__c", F.floor(F.col("__f") / 2).alias("__first"), good.alias("__good"))
+    # one row per repeated key and chunk: where they are few, the wide rows need no shuffle
+    known = broadcast_if_small(cut_lineage(known))
     rows = df.withColumn("__chunk", F.floor(F.col(order) / chunk_size))
     joined = rows.join(known, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__chunk") == F.col("__c")), "left")
     late = F.coalesce(F.col("__chunk") > F.col("__good"), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluicebox.functions.expressions import normalise_string, title_case
-from sluicebox.sources.tables import broadcast_if_small
+from sluicebox.sources.tables import broadcast_if_small, is_small
 
 UNKNOWN = "UNKNOWN"
 
@@ -71,7 +71,9 @@ def region_labels(mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canonical region by exact label and by label regardless of case, each marked for broadcast if small."""
     exact = mapping.groupBy(F.col("raw_label").alias("__r")).agg(F.min("canonical").alias("__e"))
     folded = mapping.groupBy(F.lower("raw_label").alias("__l")).agg(F.min("canonical").alias("__f"))
-    return broadcast_if_small(exact), broadcast_if_small(folded)
+    if is_small(mapping):  # and so are both
+        return F.broadcast(exact), F.broadcast(folded)
+    return exact, folded
 
 
 def attach_region(df: DataFrame, column: str, labels: tuple[DataFrame, DataFrame], output: str) -> DataFrame:

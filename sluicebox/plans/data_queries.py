@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.operators.parse_rejects import parse_records, rejected_rows, valid_rows
+from sluicebox.operators.parse_rejects import SALES_FORMAT, parse_records, rejected_rows, valid_rows
 from sluicebox.operators.timestamps import normalise_timestamps
 from sluicebox.sources.tables import broadcast_if_small, table
 
@@ -37,15 +37,22 @@ _FIELD = '"(?:[^"]|"")*"|[^",]*'
 _VALUE = r"""trim(CASE WHEN f[{0}] LIKE '"%' THEN substr(f[{0}], 2, length(f[{0}]) - 2) ELSE f[{0}] END, ' ' || chr(9))"""
 _NUMBER = r"regexp_matches({0}, '^[0-9]+(\.[0-9]+)?$')"
 
-SQL: dict[str, str] = {
-    "p5_found": rf"""
+_RECORDS = rf"""
         WITH records AS (SELECT line_id, regexp_replace(line, '\r$', '') AS line FROM raw_lines),
         parsed AS (SELECT line_id, regexp_matches(line, '^(?:{_FIELD})(?:,(?:{_FIELD}))*$') AS quoted, regexp_extract_all(',' || line, ',({_FIELD})', 1) AS f FROM records),
         fields AS (SELECT *, {_VALUE.format(4)} AS quantity, {_VALUE.format(5)} AS price, {_VALUE.format(6)} AS discount FROM parsed),
         judged AS (
-            SELECT line_id, CASE WHEN NOT quoted THEN 'bad_quoting' WHEN len(f) <> 10 THEN 'column_count' WHEN NOT regexp_matches(quantity, '^0*[1-9][0-9]*$') THEN 'bad_quantity'
+            SELECT *, CASE WHEN NOT quoted THEN 'bad_quoting' WHEN len(f) <> 10 THEN 'column_count' WHEN NOT regexp_matches(quantity, '^0*[1-9][0-9]*$') THEN 'bad_quantity'
                 WHEN NOT {_NUMBER.format('price')} OR try_cast(price AS DOUBLE) <= 0 OR try_cast(price AS DOUBLE) >= 50000 THEN 'bad_unit_price'
                 WHEN NOT {_NUMBER.format('discount')} OR try_cast(discount AS DOUBLE) > 1 THEN 'bad_discount_percent' END AS reason
-            FROM fields)
-        SELECT line_id, reason FROM judged WHERE reason IS NOT NULL""",
+            FROM fields)"""
+_TEXT = r"""CASE WHEN f[{0}] LIKE '"%' THEN replace(substr(f[{0}], 2, length(f[{0}]) - 2), '""', '"') ELSE f[{0}] END AS {1}"""
+_VALID = ", ".join(
+    {"quantity": "CAST(quantity AS BIGINT) AS quantity", "unit_price": "CAST(price AS DOUBLE) AS unit_price", "discount_percent": "CAST(discount AS DOUBLE) AS discount_percent"}.get(name, _TEXT.format(i, name))
+    for i, name in enumerate(SALES_FORMAT.columns, 1)
+)
+
+SQL: dict[str, str] = {
+    "p5_found": f"{_RECORDS} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p5_valid": f"{_RECORDS} SELECT line_id, {_VALID} FROM judged WHERE reason IS NULL",
 }
