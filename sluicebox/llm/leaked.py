@@ -8,7 +8,7 @@ Hamming distance. LSH tables, each on a sample of the steps of one of several wa
 the windows of pages and of passages. Where the windows of a passage that meet a page span enough of
 it, the letters themselves are aligned and the passage's consecutive words are counted.
 
-The passages are small, of a size that is checked, and go to all tasks; the corpus is read once, in
+The passages go to all tasks in blocks of bounded number; for each block the corpus is read once, in
 batches, and not shuffled.
 """
 
@@ -17,12 +17,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Steps of a walk (it reads about half as many letters), walks, tables by walk, and steps in a table's key.
 STEPS, WALKS, TABLES, SAMPLED = 64, 2, 3, 12
@@ -34,8 +36,8 @@ SEED, ADVERT, GAP = 7, 420, 16
 FIRM, TORN = 14, 4
 #: Consecutive words that make a leak.
 WORDS = 16
-#: Passages at most: what goes to every task.
-MOST_ITEMS = 200_000
+#: Passages in one block, which goes to every task; more are searched in as many passes as there are blocks.
+MOST_ITEMS = 50_000
 #: Letters of text handled at once.
 BATCH_CHARS = 6_000_000
 
@@ -314,11 +316,20 @@ def find_leaks(pages: DataFrame, page_id: str, text: str, boxes: str | None, ite
     nothing; passages of fewer words can't be found. Each pair comes once, so pages that repeat an id
     give it more than once. A passage that runs on from one column into the next counts in each by itself.
     """
-    chosen = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{passage}`").alias("p")).where("p IS NOT NULL AND i IS NOT NULL").limit(MOST_ITEMS + 1).collect()
-    if len(chosen) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} passages: search them in parts")
-    passages = Passages([row.i for row in chosen], [row.p for row in chosen], words=words)
-    schema = T.StructType([pages.schema[page_id], items.schema[item_id], T.StructField("words", T.IntegerType())])
+    item_name = item_id if item_id != page_id else f"item_{item_id}"
+    kind = to_arrow_type(items.schema[item_id].dataType)
+    chosen = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{passage}`").alias("p")).where("p IS NOT NULL AND i IS NOT NULL")
+    blocks = max(1, -(-chosen.count() // MOST_ITEMS))
+    found = []
+    for block in range(blocks):
+        own = chosen.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(blocks)) == block).collect()
+        found.append(_search(pages, page_id, text, boxes, Passages([row.i for row in own], [row.p for row in own], words=words), T.StructField(item_name, items.schema[item_id].dataType), kind))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(pages: DataFrame, page_id: str, text: str, boxes: str | None, passages: Passages, item: T.StructField, kind: pa.DataType) -> DataFrame:
+    """One pass over the pages for one block of passages."""
+    schema = T.StructType([pages.schema[page_id], item, T.StructField("words", T.IntegerType())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,9 +341,9 @@ def find_leaks(pages: DataFrame, page_id: str, text: str, boxes: str | None, ite
                     lefts = part.column(2).to_pylist()
                 found = leaked_in(passages, part.column(1).to_pylist(), lefts)
                 if found:
-                    page, item, count = zip(*found)
-                    ids = [passages.ids[k] for k in item]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(page)), pa.array(ids, pa.int64()), pa.array(count, pa.int32())], names=schema.names)
+                    page, which, count = zip(*found)
+                    ids = pa.array([passages.ids[k] for k in which], kind)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(page)), ids, pa.array(count, pa.int32())], names=schema.names)
 
     left = [F.transform(F.col(f"`{boxes}`"), lambda b: b["x"]).alias("left")] if boxes else []
     return pages.select(F.col(f"`{page_id}`"), F.col(f"`{text}`").alias("t"), *left).where("t <> ''").mapInArrow(search, schema)

@@ -117,6 +117,16 @@ def test_leaks_as_a_table(spark):
     assert L.find_leaks(pages, "doc_id", "text", None, items.where("false"), "item_id", "passage").count() == 0
 
 
+def test_passages_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_ITEMS", 3)
+    rng = random.Random(8)
+    items = [passage(rng, 25) for _ in range(10)]
+    pages = spark.createDataFrame([(f"d{i}", " ".join(p)) for i, p in enumerate(items)], "id string, text string")
+    listed = spark.createDataFrame([(f"i{i}", " ".join(p)) for i, p in enumerate(items)], "id string, passage string")
+    found = L.find_leaks(pages, "id", "text", None, listed, "id", "passage")
+    assert sorted((r.id, r.item_id) for r in found.collect()) == [(f"d{i}", f"i{i}") for i in range(10)]
+
+
 CLEAN = [
     "Die späte Bürgermeister war ohne Schäfer verzögert an der Straße.", "Après la forêt, 5 élèves ont déjà trouvé la côte.", "La niña perdió más de £3 en el almacén.", "Któż odnowił źródło pod miastem, łódź była żniwa.",
     "Говорят, что станция близ города стоит пустая уже пять лет.", "The weaver’s café — at 61½ the bushel — was “rather too late”.", "Não há região em maçã, disse irmão.",
