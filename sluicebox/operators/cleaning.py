@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.functions import expressions as X
@@ -23,6 +23,16 @@ class CleanConfig:
     save_rejected_rows: bool = True
 
 
+def _worked_out(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are worked out once per row, whatever uses them.
+
+    The rules name a value several times and filters are pushed down; as plain projections, costly
+    expressions would be inlined at every use. A generator of one row is where that stops.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__made")
+    return rows.select("*", made).select(*[F.col(n) for n in rows.columns], *[F.col(f"__made.{n}").alias(n) for n in columns])
+
+
 def judge_orders(raw: DataFrame, categories: DataFrame, regions: DataFrame, config: CleanConfig, order: str = "row_index") -> DataFrame:
     """Raw orders with ``rejection_reason`` (null: clean) and the cleaned values, raw ones as raw_*.
 
@@ -51,14 +61,14 @@ def judge_orders(raw: DataFrame, categories: DataFrame, regions: DataFrame, conf
 
     def valued(some: DataFrame) -> DataFrame:
         some = attach_region(attach_matches(some, "raw_category", spellings, "category"), "raw_region", labels, "region")
-        some = some.select(
-            "*",
-            X.clean_quantity(F.col("raw_quantity")).alias("quantity"),
-            X.clean_price(F.col("raw_unit_price")).alias("unit_price"),
-            X.clean_discount(F.col("raw_discount_percent")).alias("discount_percent"),
-            X.parse_order_date(F.col("raw_sale_date")).alias("__date"),
+        some = _worked_out(
+            some,
+            quantity=X.clean_quantity(F.col("raw_quantity")),
+            unit_price=X.clean_price(F.col("raw_unit_price")),
+            discount_percent=X.clean_discount(F.col("raw_discount_percent")),
+            __date=X.parse_order_date(F.col("raw_sale_date")),
         )
-        return some.withColumn("revenue", X.order_revenue(F.col("unit_price"), F.col("quantity"), F.col("discount_percent")))
+        return _worked_out(some, revenue=X.order_revenue(F.col("unit_price"), F.col("quantity"), F.col("discount_percent")))
 
     marked = mark_duplicates(rows, "__key", order, lambda some: valued(some).withColumn("passes", ~no_key & broken.isNull()), config.chunk_size, "__duplicate")
     judged = valued(marked)
