@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
-#: Date shapes other than year-month-day, each with the order of its parts in that; years outside YEARS are no dates.
-DATE_SHAPES = (
-    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2"),
-    (r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", "$3-$2-$1"),
-    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),
-)
-YEAR_FIRST = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+#: Each date shape with its parse pattern (slashes of year-first dates become hyphens); years outside YEARS are no dates.
+YEAR_FIRST = r"^[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}$"
+MONTH_FIRST = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
+DAY_FIRST = r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"
 YEARS = (1678, 2261)
 
 
@@ -24,43 +21,66 @@ def normalise_string(column: Column) -> Column:
     return F.btrim(F.coalesce(column.cast("string"), F.lit("")), F.lit(WHITE_SPACE))
 
 
-def to_number(column: Column) -> Column:
+def number_of(text: Column) -> Column:
     """A plain decimal number as double; anything else (1d, inf, 0x10, 1,000) is null."""
-    text = normalise_string(column)
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def clean_price(column: Column) -> Column:
+def price_of(text: Column) -> Column:
     """Number, or 0.0 where it can't be read."""
-    return F.coalesce(to_number(column), F.lit(0.0))
+    return F.coalesce(number_of(text), F.lit(0.0))
 
 
-def clean_quantity(column: Column) -> Column:
+def quantity_of(text: Column) -> Column:
     """Whole number, halves to even; 0 where it can't be read or is negative or beyond bigint."""
-    number = F.greatest(clean_price(column), F.lit(0.0))
-    return F.when(number < 9.0e18, F.rint(number).cast("bigint")).otherwise(F.lit(0))
+    number = F.rint(F.greatest(price_of(text), F.lit(0.0)))
+    return F.coalesce(number.try_cast("bigint"), F.lit(0))
 
 
-def clean_discount(column: Column) -> Column:
+def discount_of(text: Column) -> Column:
     """Fraction clipped to 0..1; 0.0 where it can't be read."""
-    return F.least(F.greatest(clean_price(column), F.lit(0.0)), F.lit(1.0))
+    return F.least(F.greatest(price_of(text), F.lit(0.0)), F.lit(1.0))
 
 
-def clean_email(column: Column) -> Column:
+def email_of(text: Column) -> Column:
     """Lower-cased address of a plausible shape, else null."""
-    text = F.lower(normalise_string(column))
-    return F.when(text.rlike(EMAIL), text)
+    return F.when(text.rlike(EMAIL), F.lower(text))
 
 
-def parse_order_date(column: Column) -> Column:
+def date_of(text: Column) -> Column:
     """Date in one of four shapes, else null."""
-    text = normalise_string(column)
-    for shape, parts in DATE_SHAPES:
-        text = F.regexp_replace(text, shape, parts)
-    date = F.when(text.rlike(YEAR_FIRST), F.try_to_timestamp(text, F.lit("y-M-d")).cast("date"))
+    moment = (
+        F.when(text.rlike(YEAR_FIRST), F.try_to_timestamp(F.translate(text, "/", "-"), F.lit("y-M-d")))
+        .when(text.rlike(MONTH_FIRST), F.try_to_timestamp(text, F.lit("M/d/y")))
+        .when(text.rlike(DAY_FIRST), F.try_to_timestamp(text, F.lit("d-M-y")))
+    )
+    return moment.cast("date")
+
+
+def plausible_date(date: Column) -> Column:
     return F.when(F.year(date).between(*YEARS), date)
 
 
+def clean_price(column: Column) -> Column:
+    return price_of(normalise_string(column))
+
+
+def clean_quantity(column: Column) -> Column:
+    return quantity_of(normalise_string(column))
+
+
+def clean_discount(column: Column) -> Column:
+    return discount_of(normalise_string(column))
+
+
+def clean_email(column: Column) -> Column:
+    return email_of(normalise_string(column))
+
+
+def parse_order_date(column: Column) -> Column:
+    return plausible_date(date_of(normalise_string(column)))
+
+
 def epoch_seconds(date: Column) -> Column:
     return F.unix_date(date).cast("bigint") * 86_400
 

@@ -61,13 +61,15 @@ def judge_orders(raw: DataFrame, categories: DataFrame, regions: DataFrame, conf
 
     def valued(some: DataFrame) -> DataFrame:
         some = attach_region(attach_matches(some, "raw_category", spellings, "category"), "raw_region", labels, "region")
+        some = _worked_out(some, **{f"__{c}": X.normalise_string(F.col(f"raw_{c}")) for c in ("quantity", "unit_price", "discount_percent", "sale_date")})
         some = _worked_out(
             some,
-            quantity=X.clean_quantity(F.col("raw_quantity")),
-            unit_price=X.clean_price(F.col("raw_unit_price")),
-            discount_percent=X.clean_discount(F.col("raw_discount_percent")),
-            __date=X.parse_order_date(F.col("raw_sale_date")),
+            quantity=X.quantity_of(F.col("__quantity")),
+            unit_price=X.price_of(F.col("__unit_price")),
+            discount_percent=X.discount_of(F.col("__discount_percent")),
+            __day=X.date_of(F.col("__sale_date")),
         )
+        some = some.withColumn("__date", X.plausible_date(F.col("__day"))).drop("__quantity", "__unit_price", "__discount_percent", "__sale_date", "__day")
         return _worked_out(some, revenue=X.order_revenue(F.col("unit_price"), F.col("quantity"), F.col("discount_percent")))
 
     marked = mark_duplicates(rows, "__key", order, lambda some: valued(some).withColumn("passes", ~no_key & broken.isNull()), config.chunk_size, "__duplicate")

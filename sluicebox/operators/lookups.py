@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluicebox.functions.expressions import normalise_string, title_case
+from sluicebox.session import cut_lineage
 from sluicebox.sources.tables import broadcast_if_small, is_small
 
 UNKNOWN = "UNKNOWN"
@@ -47,13 +48,13 @@ def fuzzy_matches(df: DataFrame, column: str, canonical: DataFrame, most: int =
     """(spelling, match): for each distinct spelling the canonical name of least edit distance, at most ``most``; ties to the first name.
 
     Distinct spellings are held against the short list: the work grows with them, not with the rows.
-    The result is marked for broadcast if it is small.
+    The result is worked out once, and marked for broadcast if it is small.
     """
     values = df.select(F.lower(normalise_string(F.col(column))).alias("spelling")).where("spelling <> ''").distinct()
     names = broadcast_if_small(canonical.select(F.col("canonical").alias("name")).distinct())
     pairs = values.join(names, F.levenshtein(F.col("spelling"), F.lower("name"), most) >= 0)
     nearest = F.min_by("name", F.struct(F.levenshtein(F.col("spelling"), F.lower("name")), "name"))
-    return broadcast_if_small(pairs.groupBy("spelling").agg(nearest.alias("match")))
+    return broadcast_if_small(cut_lineage(pairs.groupBy("spelling").agg(nearest.alias("match"))))
 
 
 def attach_matches(df: DataFrame, column: str, matches: DataFrame, output: str) -> DataFrame:

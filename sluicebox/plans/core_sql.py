@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from sluicebox.functions.expressions import NUMBER, YEAR_FIRST, YEARS
+from sluicebox.functions.expressions import DAY_FIRST, MONTH_FIRST, NUMBER, YEARS
 from sluicebox.operators.names import BRANDS, CHARACTERS, MISSING_LETTERS
 
 #: The day that stands for today in the date rules.
 AS_OF = "2025-12-31"
 
 _SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_DATES = {YEAR_FIRST: "%Y-%m-%d", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$": "%m/%d/%Y", "^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$": "%d-%m-%Y", "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$": "%Y/%m/%d"}
+_DATES = {"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$": "%Y-%m-%d", MONTH_FIRST: "%m/%d/%Y", DAY_FIRST: "%d-%m-%Y", "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$": "%Y/%m/%d"}
 
 
 def _strip(column: str) -> str:
