@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD, BITS = "word", "bits"
+WORD, BITS = "__word", "__bits"
 MIN_BITS = 64
 
 
@@ -40,7 +40,10 @@ def bit_position(identifier: Column, m: int) -> Column:
 
 
 def bitmaps(df: DataFrame, keys: list[str], identifier: str, m: int) -> DataFrame:
-    """(keys, word, bits): one bitmap per group; a null identifier sets no bit, a null key is a group."""
+    """(keys, __word, __bits): one bitmap per group; a null identifier sets no bit, a null key is a group.
+
+    Other columns are left out, whatever their names; an empty table has no bitmaps.
+    """
     rows = df.where(F.col(f"`{identifier}`").isNotNull())
     rows = rows.select(*[F.col(f"`{k}`") for k in keys], bit_position(F.col(f"`{identifier}`"), m).alias("__bit"))
     rows = rows.select(*[F.col(f"`{k}`") for k in keys], F.shiftright("__bit", 6).alias(WORD), F.expr("shiftleft(1L, cast(__bit & 63 AS int))").alias(BITS))
@@ -52,6 +55,11 @@ def union_bitmaps(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*[F.col(f"`{k}`") for k in keys], WORD).agg(F.bit_or(BITS).alias(BITS))
 
 
+def _distinct_names(keys: list[str], outputs: list[str]) -> None:
+    if clash := sorted(set(keys) & set(outputs)) or sorted({k for k in keys if keys.count(k) > 1}):
+        raise ValueError(f"keys named like results, or twice: {clash}")
+
+
 def _estimates(filled: Column, m: int) -> list[Column]:
     """Estimate and relative standard error; null where the bitmap is full."""
     count = F.when(filled < m, -m * F.log(1 - filled / F.lit(float(m))))
@@ -60,7 +68,8 @@ def _estimates(filled: Column, m: int) -> list[Column]:
 
 
 def count_groups(maps: DataFrame, keys: list[str], m: int) -> DataFrame:
-    """(keys, filled, estimate, std_error) of bitmaps by ``keys``."""
+    """(keys, filled, estimate, std_error) of bitmaps by ``keys``; a key named like a result is a ValueError."""
+    _distinct_names(keys, ["filled", "estimate", "std_error"])
     filled = maps.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.sum(F.bit_count(BITS)).cast("bigint").alias("filled"))
     return filled.select(*[F.col(f"`{k}`") for k in keys], "filled", *_estimates(F.col("filled"), m))
 
@@ -70,6 +79,7 @@ def count_combinations(maps: DataFrame, keys: list[str], m: int, level: str = "l
 
     ``level`` names the keys that are kept, joined by commas ('' for the total); the others are null.
     """
+    _distinct_names(keys, [level, "filled", "estimate", "std_error"])
     kinds = {f.name: f.dataType for f in maps.schema.fields}
     options = []
     for kept in range(2 ** len(keys)):

@@ -32,6 +32,7 @@ WIDTH, TOP = 1 << WIDTH_BITS, CODE_BITS - EXACT_BITS
 HELD = 2_000_000
 #: Different codes up to which a group is kept as codes, and the level that stands for them.
 FEW, CODES = 400, -1
+LEVEL, CELLS = "__level", "__cells"
 _FLIP = np.uint64(1 << 63)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -154,11 +155,11 @@ def exact(codes: np.ndarray, weights: np.ndarray, shares: np.ndarray) -> tuple[i
 
 def _schema(df: DataFrame, keys: list[str], column: str) -> T.StructType:
     kinds = {f.name: f for f in df.schema.fields}
-    return T.StructType([*[kinds[k] for k in keys], T.StructField(column, T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("cells", T.BinaryType())])
+    return T.StructType([*[kinds[k] for k in keys], T.StructField(column, T.StringType()), T.StructField(LEVEL, T.IntegerType()), T.StructField(CELLS, T.BinaryType())])
 
 
 def dyadic_sketches(df: DataFrame, keys: list[str], values: list[str], weight: str | None = None, column: str = "column") -> DataFrame:
-    """(keys, column, level, cells): the sketches of each group and value column.
+    """(keys, column, __level, __cells): the sketches of each group and value column.
 
     Null and NaN values count for nothing; a null key is a group. ``weight`` names an integer column
     (null: 0), -1 for a deletion; without it each row weighs 1. Sketches are made where the rows are
@@ -229,7 +230,7 @@ def add_sketches(parts: DataFrame, keys: list[str], column: str = "column") -> D
     A group may have both cells and codes; ``percentiles`` and later sums take them together.
     """
     schema = _schema(parts, keys, column)
-    by = [*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`"), F.col("level")]
+    by = [*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`"), F.col(LEVEL)]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cells, held, done, types = None, None, [], [], None
@@ -266,7 +267,7 @@ def add_sketches(parts: DataFrame, keys: list[str], column: str = "column") -> D
         if done:
             yield full()
 
-    return parts.select(*by, "cells").repartition(*by).sortWithinPartitions(*by).mapInArrow(add, schema)
+    return parts.select(*by, CELLS).repartition(*by).sortWithinPartitions(*by).mapInArrow(add, schema)
 
 
 def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], column: str = "column") -> DataFrame:
@@ -279,6 +280,8 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], colum
     schema = T.StructType(
         [*[kinds[k] for k in keys], kinds[column], *[T.StructField(n, t) for n, t in (("share", T.DoubleType()), ("value", T.DoubleType()), ("weight", T.LongType()), ("rank_error", T.DoubleType()))]]
     )
+    if clash := {*keys, column} & {"share", "value", "weight", "rank_error"} or len({*keys, column}) <= len(keys):
+        raise ValueError(f"keys named like results, or twice: {clash}")
     wanted = np.array(shares, np.float64)
     by = [*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`")]
     width = len(by)
@@ -332,4 +335,4 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], colum
             found.append(find(codes, levels))
             yield full()
 
-    return sketches.select(*by, "level", "cells").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    return sketches.select(*by, LEVEL, CELLS).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
