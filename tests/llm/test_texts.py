@@ -54,7 +54,8 @@ def passage(rng, count):
 
 
 def leaks(texts, passages, lefts=None, words=16):
-    own = L.Passages(list(range(len(passages))), [" ".join(p) for p in passages], words=words)
+    folded = [L.fold_passage(" ".join(p)) for p in passages]
+    own = L.Passages(list(range(len(passages))), folded, L.scheme_for(folded, words), words)
     return {(i, k): w for i, k, w in L.leaked_in(own, texts, lefts or [None] * len(texts))}
 
 
@@ -118,7 +119,9 @@ def test_leaks_as_a_table(spark):
 
 
 def test_passages_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(L, "MOST_ITEMS", 3)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(L, "PASS_BYTES", 1500)
+    monkeypatch.setattr(L, "HELD_BYTES", 300)
     rng = random.Random(8)
     items = [passage(rng, 25) for _ in range(10)]
     pages = spark.createDataFrame([(f"d{i}", " ".join(p)) for i, p in enumerate(items)], "id string, text string")
@@ -127,6 +130,74 @@ def test_passages_in_blocks(spark, monkeypatch):
     assert sorted((r.id, r.item_id) for r in found.collect()) == [(f"d{i}", f"i{i}") for i in range(10)]
 
 
+RUSSIAN = "в городе вчера говорили что станция близ старой мельницы стоит пустая уже пять долгих лет и никто из жителей не хочет чинить её крышу до весны"
+GREEK = "το παλιό λιμάνι της πόλης έμεινε άδειο όλο τον χειμώνα και κανείς από τους ψαράδες δεν θέλησε να βγει στη θάλασσα πριν από την άνοιξη"
+CHINESE = "城外的老磨坊已经空了五年没有一个居民愿意在春天之前修理它的屋顶"
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, GREEK, CHINESE])
+def test_passages_of_other_scripts(text):
+    rng = random.Random(10)
+    item = text.split() if " " in text else [text]
+    words = lines(passage(rng, 30) + [w.upper() for w in item] + passage(rng, 30))
+    assert (0, 0) in leaks(["\n".join(words), " ".join(passage(rng, 80)), text[: len(text) // 4]], [item])
+    assert set(leaks(["\n".join(words), " ".join(passage(rng, 80)), text[: len(text) // 4]], [item])) == {(0, 0)}
+
+
+def test_words_of_two_scripts_fold_to_the_commoner():
+    assert L.fold("sp\u0413te W\u0413lder") == L.fold("spte Wlder") and L.fold("гоpод") == L.fold("город".replace("р", ""))
+    assert L.fold("") == b"" and L.fold("\U0001f600 é") == b" "
+
+
+@pytest.mark.parametrize("letters", [40, 342, 575, 4000])
+def test_adverts_of_any_length(letters):
+    rng = random.Random(11)
+    item = passage(rng, 40)
+    other = " ".join(passage(rng, 900))[:letters]
+    page = "\n".join([*lines(item[:18]), "------", other, "------", *lines(item[18:])])
+    assert leaks([page], [item])[0, 0] >= 38
+
+
+def test_short_words():
+    rng = random.Random(12)
+    item = [rng.choice(["a", "we", "xy", "q", "m", "to", "z", "hd", "up", "my"]) for _ in range(24)]
+    filler = passage(rng, 60)
+    assert set(leaks([" ".join(filler[:30] + item[2:20] + filler[30:]), " ".join(filler)], [item])) == {(0, 0)}
+
+
+def test_planted_edits_meet_at_the_wanted_recall():
+    rng = random.Random(13)
+    folded = [L.fold_passage(" ".join(passage(rng, 60))) for _ in range(300)]
+    assert L.planted_recall(folded, L.scheme_for(folded, recall=0.99, misread=0.06), misread=0.06, seed=77) >= 0.97
+    assert len(L.scheme_for(folded, recall=0.9, misread=0.0).samples) <= len(L.scheme_for(folded, recall=0.999, misread=0.1).samples)
+
+
+def test_size_of_the_tables():
+    rng = random.Random(14)
+    folded = [L.fold_passage(" ".join(passage(rng, 120))) for _ in range(500)]
+    scheme = L.Scheme(2)
+    marks = sum(t[0].nbytes for t in L.Passages([0], folded[:1], scheme).tables)
+    assert (L.Passages(list(range(500)), folded, scheme).nbytes() - marks) / sum(map(len, folded)) < 20
+    assert [len(b) for b in L._blocks([(i, f * 20_000) for i, f in enumerate(folded[:4])])] == [1, 1, 1, 1]
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_exact_edits():
+    rng = random.Random(15)
+    for _ in range(500):
+        a, b = (bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        assert L.edit_distance(a, b) == plain_distance(a, b)
+    assert L._stretch(b"abcdefgh", b"abcxefgh") == (8, 1) and L._stretch(b"abc", b"") == (0, 0) and L._stretch(b"abcdef", b"abdef" + b"z" * 9) == (6, 1)
+
+
 CLEAN = [
     "Die späte Bürgermeister war ohne Schäfer verzögert an der Straße.", "Après la forêt, 5 élèves ont déjà trouvé la côte.", "La niña perdió más de £3 en el almacén.", "Któż odnowił źródło pod miastem, łódź była żniwa.",
     "Говорят, что станция близ города стоит пустая уже пять лет.", "The weaver’s café — at 61½ the bushel — was “rather too late”.", "Não há região em maçã, disse irmão.",
