@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,20 @@ def build_session(app: str = "sluicebox", master: str | None = None, shuffle_par
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where it is unset (tests), a local one."""
+    """Use the folder named in spark.checkpoint.dir; a local folder only in local mode, where it is removed at exit.
+
+    On a cluster without that setting a RuntimeError is raised: executors share no local folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sluicebox-checkpoint-"))
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="sluicebox-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    context.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
