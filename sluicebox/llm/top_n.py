@@ -1,12 +1,14 @@
 """The N best rows of every group by simultaneous bisection of each group's cutoff.
 
 A row's place is an order-preserving code: the score as a 64-bit integer, then the bytes of its
-identifier. All groups search their cutoffs at once. A round lays ``fanout - 1`` midpoints between
-the lowest and highest undecided code of each group and counts the rows above each; rows above the
-last midpoint with fewer than N above it are in, rows below the next are out, and only those between
-stay undecided. ``fanout=2`` is plain bisection; more midpoints take fewer passes. No group is ever
-brought into one task: counts are pre-aggregated per (group, interval), and only undecided rows are
-carried on, from a table in the shared checkpoint folder.
+identifier. All groups search their cutoffs at once. A round lays midpoints over the undecided codes of
+each group and counts the rows above each; rows above the last midpoint with fewer than N above it are
+in, rows below the next are out, and only those between stay undecided. The first midpoints of a level
+are those that the leading bits of its code give, alike for all groups, so nothing need be known of a
+group beforehand; later ones lie between the lowest and highest undecided code of the group.
+``fanout=2`` is plain bisection there; more midpoints take fewer passes. No group is ever brought into
+one task: counts are pre-aggregated per (group, interval), and only undecided rows are carried on, from a
+table in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicebox.session import cut_lineage
-from sluicebox.sources.tables import broadcast_if_small
+from sluicebox.sources.tables import is_small
 
-#: Bytes of the identifier compared in one level.
-CHUNK = 6
+#: Bytes of the identifier compared in one level, and leading bits of a level's code that the first midpoints are laid by.
+CHUNK, LEADING = 6, 16
 
 
 @F.pandas_udf(T.LongType())
@@ -36,7 +38,8 @@ def _ordered(score: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def _common(low: pd.Series, high: pd.Series) -> pd.Series:
-    return pd.Series([len(os.path.commonprefix([bytes(a), bytes(b)])) for a, b in zip(low, high)], dtype="int32")
+    """Bytes that both begin with; 0 where they aren't known yet."""
+    return pd.Series([0 if a is None else len(os.path.commonprefix([bytes(a), bytes(b)])) for a, b in zip(low, high)], dtype="int32")
 
 
 def _chunk(name: Column, offset: Column) -> Column:
@@ -78,42 +81,22 @@ def top_n(df: DataFrame, group: str, score: str, identifier: str, n: int, rank:
     tail = F.concat(F.hex("whole"), F.hex("copy")) if repeats else F.hex("whole")
     if not repeats:
         rows = rows.dropDuplicates()
-    rows = rows.select(
-        "g", "score", "item",
-        _ordered(F.col("score").cast("double")).alias("code"),
-        F.encode(F.concat(F.coalesce(F.col("item").cast("string"), F.lit("")), F.lit("\u0000"), tail), "UTF-8").alias("name"),
-    )
-    undecided = cut_lineage(rows)
-    state = undecided.groupBy("g").agg(
-        F.count(F.lit(1)).alias("held"), F.min("code").alias("low"), F.max("code").alias("high"), F.min("name").alias("first"), F.max("name").alias("last")
-    )
-    state = state.withColumn("need", F.lit(n).cast("bigint")).withColumn("offset", F.lit(-1))
-    taken = []
+    rows = cut_lineage(rows.withColumn("code", _ordered(F.col("score").cast("double"))))
+    name = F.encode(F.concat(F.coalesce(F.col("item").cast("string"), F.lit("")), F.lit("\u0000"), tail), "UTF-8").alias("name")
+    placed = rows.select("g", "score", "item", "code", name, F.lit(n).cast("bigint").alias("need"), F.lit(-1).alias("offset"), F.shiftright("code", 64 - LEADING).cast("int").alias("bin"))
+    taken, first = [], True
     while True:
-        state = cut_lineage(_deeper(state))
-        placed = _placed(undecided, state, fanout)
-        counts = placed.groupBy("g", "bin").agg(
-            F.count(F.lit(1)).alias("held"), F.min("code").alias("low"), F.max("code").alias("high"), F.min("name").alias("first"), F.max("name").alias("last"),
-            F.first("need").alias("need"), F.first("offset").alias("offset"),
-        )
-        above = Window.partitionBy("g").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("over", F.coalesce(F.sum("held").over(above), F.lit(0)))
-        cut = counts.where((F.col("over") < F.col("need")) & (F.col("over") + F.col("held") >= F.col("need")))
-        least = counts.groupBy("g").agg(F.sum("held").alias("all"), F.first("need").alias("need")).where("all <= need").select("g", F.lit(-1).alias("cut"), F.lit(True).alias("whole"))
-        bounds = cut.where(F.col("over") + F.col("held") >= F.col("need")).select("g", F.col("bin").alias("cut"), (F.col("over") + F.col("held") == F.col("need")).alias("whole"))
-        bounds = bounds.join(least.select("g"), bounds["g"].eqNullSafe(least["g"]), "left_anti").unionByName(least)
-        bounds = broadcast_if_small(cut_lineage(bounds))
-        judged = placed.join(bounds.withColumnRenamed("g", "gb"), F.col("g").eqNullSafe(F.col("gb")))
-        judged = judged.where(F.col("bin") >= F.col("cut")).withColumn("in", F.col("whole") | (F.col("bin") > F.col("cut")))
-        judged = cut_lineage(judged.select("g", "score", "item", "code", "name", "in"))
-        taken.append(judged.where("in").select("g", "score", "item", "name"))
-        undecided = judged.where(~F.col("in")).drop("in")
-        if undecided.isEmpty():
+        cuts = cut_lineage(_cuts(placed, not first))
+        small = is_small(cuts.select("g"))
+        bounds = cuts.select(F.col("g").alias("gc"), "cut", "whole")
+        judged = placed.join(F.broadcast(bounds) if small else bounds, F.col("g").eqNullSafe(F.col("gc"))).where(F.col("bin") >= F.col("cut"))
+        taken.append(judged.where(F.col("whole") | (F.col("bin") > F.col("cut"))).select("g", "score", "item", "name"))
+        open_ = cuts.where(~F.col("whole"))
+        if open_.isEmpty():
             break
-        state = cut.where(F.col("over") + F.col("held") > F.col("need")).select(
-            "g", "held", "low", "high", "first", "last", (F.col("need") - F.col("over")).alias("need"), "offset"
-        )
-        undecided = undecided.select("g", "score", "item", "code", "name")
+        undecided = cut_lineage(judged.where(~F.col("whole") & (F.col("bin") == F.col("cut"))).select("g", "score", "item", "code", "name"))
+        state = _deeper(open_)
+        placed, first = _placed(undecided, F.broadcast(state) if small else state, fanout), False
     chosen = reduce(DataFrame.unionByName, taken)
     best = Window.partitionBy("g").orderBy(F.col("score").cast("double").desc(), "name")
     return chosen.select(
@@ -121,21 +104,37 @@ def top_n(df: DataFrame, group: str, score: str, identifier: str, n: int, rank:
     )
 
 
+def _cuts(placed: DataFrame, names: bool) -> DataFrame:
+    """For each group the interval in which its cutoff lies, and whether it is taken whole.
+
+    ``need`` is how many rows are still to come from the interval; ``first`` and ``last`` are the
+    names it spans, if ``names``.
+    """
+    spans = [F.min("name").alias("first"), F.max("name").alias("last")] if names else []
+    counts = placed.groupBy("g", "bin").agg(
+        F.count(F.lit(1)).alias("held"), F.min("code").alias("low"), F.max("code").alias("high"), F.first("need").alias("need"), F.first("offset").alias("offset"), *spans
+    )
+    group = Window.partitionBy("g").orderBy(F.col("bin").desc())
+    counts = counts.withColumn("reached", F.sum("held").over(group)).withColumn("below", F.lead("bin").over(group).isNotNull())
+    over = F.col("reached") - F.col("held")
+    cut = counts.where((over < F.col("need")) & ((F.col("reached") >= F.col("need")) | ~F.col("below")))
+    spanned = [F.col(c) if names else F.lit(None).cast("binary").alias(c) for c in ("first", "last")]
+    return cut.select("g", F.col("bin").alias("cut"), (F.col("reached") <= F.col("need")).alias("whole"), (F.col("need") - over).alias("need"), "low", "high", "offset", *spanned)
+
+
 def _deeper(state: DataFrame) -> DataFrame:
     """Groups whose undecided codes are all equal go on to the first identifier byte in which they differ."""
-    tied = (F.col("low") == F.col("high")) & (F.col("held") > F.col("need"))
-    state = state.withColumn("offset", F.when(tied, _common("first", "last")).otherwise(F.col("offset")))
-    fresh = tied
+    tied = F.col("low") == F.col("high")
     return state.select(
-        F.col("g").alias("gs"), "need", "offset", fresh.alias("fresh"),
-        F.when(fresh, _chunk(F.col("last"), F.col("offset"))).otherwise(F.col("low")).alias("lo"),
-        F.when(fresh, _chunk(F.col("first"), F.col("offset"))).otherwise(F.col("high")).alias("hi"),
+        F.col("g").alias("gs"), "need", tied.alias("fresh"), F.col("low").alias("lo"), F.col("high").alias("hi"),
+        F.when(tied, _common("first", "last")).otherwise(F.col("offset")).alias("offset"),
     )
 
 
 def _placed(undecided: DataFrame, state: DataFrame, fanout: int) -> DataFrame:
     """Undecided rows with their group's interval number; the code is renewed where the group went deeper."""
-    rows = undecided.join(broadcast_if_small(state), F.col("g").eqNullSafe(F.col("gs")))
+    rows = undecided.join(state, F.col("g").eqNullSafe(F.col("gs")))
     rows = rows.withColumn("code", F.when(F.col("fresh"), _chunk(F.col("name"), F.col("offset"))).otherwise(F.col("code")))
-    bin_ = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(_interval(F.col("code"), F.col("lo"), F.col("hi"), fanout))
+    leading = F.shiftright("code", 8 * CHUNK + 3 - LEADING).cast("int")
+    bin_ = F.when(F.col("fresh"), leading).otherwise(_interval(F.col("code"), F.col("lo"), F.col("hi"), fanout))
     return rows.select("g", "score", "item", "code", "name", "need", "offset", bin_.alias("bin"))
