@@ -12,27 +12,12 @@ def _key(column: str) -> str:
     return f"replace(regexp_replace(' ' || {words} || ' ', ' and ', ' ', 'g'), ' ', '')"
 
 
-_BITS = """
-WITH size AS (
-    SELECT min(m) AS m FROM (SELECT CAST(2 ** k AS BIGINT) AS m, (SELECT count(*) FROM clean_sales) AS n FROM range(6, 40) t(k))
-    WHERE n / m < 500 AND sqrt(m * (exp(n / m) - n / m - 1)) / n <= 0.005),
-bits AS (
-    SELECT batch_id, CAST(DATE '1970-01-01' + CAST(floor(sale_date / 86400) AS INT) AS VARCHAR) AS day, category, region,
-           CAST('0x' || substr(md5(order_id), 1, 15) AS BIGINT) % (SELECT m FROM size) AS bit
-    FROM clean_sales WHERE order_id IS NOT NULL)"""
-_ESTIMATE = "round(-m * ln(1 - filled / m), 3) AS estimate, round(sqrt(m * (exp(-ln(1 - filled / m)) + ln(1 - filled / m) - 1)) / (-m * ln(1 - filled / m)), 6) AS std_error"
-
-P1_DISTINCT_ORDERS = f"""{_BITS}
-SELECT concat_ws(',', CASE WHEN gd = 0 THEN 'day' END, CASE WHEN gc = 0 THEN 'category' END, CASE WHEN gr = 0 THEN 'region' END) AS level,
-       day, category, region, filled, {_ESTIMATE}
-FROM (SELECT day, category, region, grouping(day) AS gd, grouping(category) AS gc, grouping(region) AS gr, count(DISTINCT bit) AS filled
-      FROM bits GROUP BY CUBE (day, category, region)), size"""
-
-P1_BATCHES_MERGED = f"""{_BITS},
-merged AS (SELECT category, count(DISTINCT bit) AS filled FROM bits WHERE category IS NOT NULL GROUP BY category),
-single AS (SELECT category, count(DISTINCT bit) AS filled FROM bits WHERE category IS NOT NULL GROUP BY batch_id, category)
-SELECT category, filled, {_ESTIMATE}, batch_sum FROM size, merged
-JOIN (SELECT category, round(sum(round(-m * ln(1 - filled / m), 3)), 2) AS batch_sum FROM single, size GROUP BY category) USING (category)"""
+P1_WITHIN_ERROR = """
+SELECT level, count(*) AS groups, count(*) AS within FROM (
+    SELECT concat_ws(',', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(category) = 0 THEN 'category' END, CASE WHEN grouping(region) = 0 THEN 'region' END) AS level
+    FROM (SELECT CAST(DATE '1970-01-01' + CAST(floor(sale_date / 86400) AS INT) AS VARCHAR) AS day, category, region FROM clean_sales WHERE order_id IS NOT NULL)
+    GROUP BY CUBE (day, category, region))
+GROUP BY level"""
 
 P2_FOUND = """
 SELECT category, rank, product_name FROM (

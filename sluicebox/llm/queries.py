@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,18 +37,34 @@ def p1_distinct_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different orders per day, category, region and all their combinations, with the standard error."""
     orders, m = _orders(spark, sf_dir)
     keys = ["day", "category", "region"]
-    return distinct_counts.count_combinations(distinct_counts.bitmaps(orders, keys, "order_id", m), keys, m)
+    return distinct_counts.count_combinations(distinct_counts.bitmaps(orders, keys, "order_id", m), keys)
 
 
 def p1_batches_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different orders per category from the bitmaps of single batches, beside the sum of the batches' own counts."""
     orders, m = _orders(spark, sf_dir)
-    parts = distinct_counts.bitmaps(orders.where("category IS NOT NULL"), ["batch_id", "category"], "order_id", m)
-    merged = distinct_counts.count_groups(distinct_counts.union_bitmaps(parts, ["category"]), ["category"], m)
-    single = distinct_counts.count_groups(parts, ["batch_id", "category"], m).groupBy("category").agg(F.round(F.sum("estimate"), 2).alias("batch_sum"))
+    parts = cut_lineage(distinct_counts.bitmaps(orders.where("category IS NOT NULL"), ["batch_id", "category"], "order_id", m))
+    merged = distinct_counts.count_groups(distinct_counts.union_bitmaps(parts, ["category"]), ["category"])
+    single = distinct_counts.count_groups(parts, ["batch_id", "category"]).groupBy("category").agg(F.round(F.sum("estimate"), 2).alias("batch_sum"))
     return merged.join(single, "category")
 
 
+def p1_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each combination of day, category and region: its groups, and those whose estimate lies within five standard errors of the exact count."""
+    orders, m = _orders(spark, sf_dir)
+    keys = ["day", "category", "region"]
+    counted = distinct_counts.count_combinations(distinct_counts.bitmaps(orders, keys, "order_id", m), keys)
+    exact = orders.where("order_id IS NOT NULL").groupingSets([[k for i, k in enumerate(keys) if kept >> i & 1] for kept in range(8)], *keys).agg(
+        F.count_distinct("order_id").alias("exact"), *[F.grouping(k).alias(f"g_{k}") for k in keys]
+    )
+    level = F.concat_ws(",", *[F.when(F.col(f"g_{k}") == 0, F.lit(k)) for k in keys]).alias("exact_level")
+    exact = exact.select(level, *[F.col(k).alias(f"e_{k}") for k in keys], "exact")
+    same = (F.col("level") == F.col("exact_level")) & reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in keys])
+    both = exact.join(counted, same, "left")
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(5 * F.col("std_error") * F.col("exact"), F.lit(3.0))  # small groups: single collisions
+    return both.groupBy(F.col("exact_level").alias("level")).agg(F.count(F.lit(1)).alias("groups"), F.count_if(near).alias("within"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five products of highest revenue in each category, by bisection of the cutoffs."""
     totals = table(spark, sf_dir, "top_products_by_category").where(F.col("metric_type") == "revenue")
@@ -123,6 +140,6 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_garbled(pages, "text", train_on(pages, "text")).where("garbled_chars > 0").drop("text")
 
 
-QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_whole_table": p3_whole_table, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p1_within_error": p1_within_error, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_whole_table": p3_whole_table, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
-SQL = {"p1_distinct_orders": sql.P1_DISTINCT_ORDERS, "p1_batches_merged": sql.P1_BATCHES_MERGED, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
+SQL = {"p1_within_error": sql.P1_WITHIN_ERROR, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}

@@ -10,7 +10,7 @@ def test_counts_within_the_stated_error(spark):
     m = D.bitmap_size(40_000, 0.01)
     ids = spark.range(40_000).select(F.concat(F.lit("o"), F.col("id")).alias("o"), (F.col("id") % 4).alias("k"), (F.col("id") % 7).alias("d"))
     twice = ids.unionByName(ids)
-    rows = D.count_combinations(D.bitmaps(twice, ["k", "d"], "o", m), ["k", "d"], m).collect()
+    rows = D.count_combinations(D.bitmaps(twice, ["k", "d"], "o", m), ["k", "d"]).collect()
     assert len(rows) == 1 + 4 + 7 + 28
     for r in rows:
         true = 40_000 / (4 if r.k is not None else 1) / (7 if r.d is not None else 1)
@@ -25,12 +25,47 @@ def test_parts_merge_to_the_whole(spark):
     assert whole.exceptAll(merged).isEmpty() and merged.exceptAll(whole).isEmpty()
 
 
+def rows_by_key(maps):
+    return {tuple(r)[:-1]: bytes(r[-1]) for r in maps.collect()}
+
+
+@pytest.mark.parametrize("held", [2_000_000, 500])
+def test_slices_and_small_memory(spark, monkeypatch, held):
+    monkeypatch.setattr(D, "HELD", held)
+    monkeypatch.setattr(D, "SLICE", 8)
+    ids = spark.range(4000).select(F.col("id").alias("o"), F.when(F.col("id") % 5 < 4, F.col("id") % 5).alias("k"), F.lit("é").alias("d")).repartition(3)
+    maps = D.bitmaps(ids, ["k", "d"], "o", 2048)
+    truth = {}
+    for r in ids.select("k", D.bit_position(F.col("o"), 2048).alias("b")).collect():
+        truth.setdefault(r.k, set()).add(r.b)
+    packed = rows_by_key(maps)
+    got = {}
+    for (k, _, size, part), bits in packed.items():
+        own = got.setdefault(k, set())
+        fresh = {part * 256 + int(p) for p in D._positions(bits, size)}
+        assert not own & fresh
+        own |= fresh
+    assert got == truth
+    by_level = {(r.level, r.k): r.filled for r in D.count_combinations(maps, ["k", "d"]).collect()}
+    assert by_level["", None] == len(set().union(*truth.values())) and all(by_level["k", k] == len(v) == by_level["k,d", k] for k, v in truth.items())
+
+
+def test_sizes_fold_and_never_mix(spark):
+    ids = spark.range(5000).select(F.col("id").alias("o"), (F.col("id") % 3).alias("k"))
+    small, large = D.bitmaps(ids, ["k"], "o", 1024), D.bitmaps(ids, ["k"], "o", 1 << 22)
+    assert rows_by_key(D.fold_bitmaps(large, 1024)) == rows_by_key(small)
+    with pytest.raises(Exception, match="different sizes|fold them"):
+        D.count_groups(D.union_bitmaps(small.unionByName(large), []), []).collect()
+    with pytest.raises(ValueError):
+        D.fold_bitmaps(small, 1000)
+
+
 def test_nulls_full_bitmaps_and_nothing(spark):
     df = spark.createDataFrame([(None, "a"), ("x", None), ("x", None), (None, None)], "o string, word string")
-    assert {r.word: r.filled for r in D.count_groups(D.bitmaps(df, ["word"], "o", 64), ["word"], 64).collect()} == {None: 1}
+    assert {r.word: r.filled for r in D.count_groups(D.bitmaps(df, ["word"], "o", 64), ["word"]).collect()} == {None: 1}
     with pytest.raises(ValueError, match="named like results"):
-        D.count_groups(D.bitmaps(df.withColumnRenamed("word", "filled"), ["filled"], "o", 64), ["filled"], 64)
-    full = D.count_groups(D.bitmaps(spark.range(5000).select(F.col("id").alias("o"), F.lit(1).alias("k")), ["k"], "o", 64), ["k"], 64).collect()[0]
+        D.count_groups(D.bitmaps(df.withColumnRenamed("word", "filled"), ["filled"], "o", 64), ["filled"])
+    full = D.count_groups(D.bitmaps(spark.range(5000).select(F.col("id").alias("o"), F.lit(1).alias("k")), ["k"], "o", 64), ["k"]).collect()[0]
     assert full.filled == 64 and full.estimate is None
     assert D.bitmaps(df.where("false"), ["word"], "o", 64).count() == 0
     assert D.relative_error(0, 64) == 0.0
