@@ -39,9 +39,11 @@ RECALL, MISREAD, PLANTED = 0.99, 0.05, 400
 #: Letters between the first and last window that met on about one diagonal, for the pair to be checked; how far diagonals may differ.
 SPREAD, DRIFT = 12, 24
 #: Windows that must meet where they don't do so on one diagonal.
-MANY = 3
+MANY = 4
 #: Letters of a seed of the alignment, and of a gap between seeds without an advert.
 SEED, GAP = 7, 16
+#: One in so many letters of the shortest leak must begin a seed that stands on about one diagonal.
+SEEDED = 4
 #: Letters that an advert must have on either side, and letters that may be lost beside it.
 FIRM, TORN = 14, 4
 #: Share of a leak's letters that may be edited, adverts aside.
@@ -321,9 +323,12 @@ class Passages:
         low, high = np.searchsorted(seeds, grams[j]), np.searchsorted(seeds, grams[j], "right")
         times = high - low
         i = places[np.arange(int(times.sum())) + np.repeat(low - (np.cumsum(times) - times), times)]
-        if not len(i):
-            return 0
+        shortest = int(self._least_letters()[item])
         shift = np.repeat(j, times) - i
+        inside = np.sort(shift)
+        # half a leak, or a line of it, has a share of its seeds on about one diagonal
+        if not len(i) or SEEDED * (np.searchsorted(inside, inside + DRIFT, "right") - np.arange(len(i))).max() < shortest:
+            return 0
         by = np.lexsort((i, shift))
         i, shift = i[by], shift[by]
         cuts = np.flatnonzero(np.concatenate([[True], (np.diff(shift) != 0) | (np.diff(i) > SEED)]))
@@ -333,7 +338,6 @@ class Passages:
         start: list[int] = []
         before: list[int] = []
         longest = 0
-        shortest = int(self._least_letters()[item])
         for n, (a, b, c, d) in enumerate(parts):
             begin, back = a, -1
             for m in range(n - 1, -1, -1):
