@@ -34,7 +34,7 @@ def monthly_sales_summary(clean: DataFrame) -> DataFrame:
     rows = clean.where(F.col("sale_date").isNotNull()).withColumn("month", month_key(F.col("sale_date")))
     return rows.groupBy("month").agg(
         _money("revenue").alias("total_revenue"), _quantity().alias("total_quantity"), _mean("discount_percent").alias("avg_discount_percent"), F.count_distinct("order_id").alias("order_count")
-    )
+    ).orderBy("month")
 
 
 def top_products_by_category(clean: DataFrame, limit: int = 5) -> DataFrame:
@@ -55,13 +55,13 @@ def region_wise_performance(clean: DataFrame) -> DataFrame:
     )
     return totals.select(
         "region", F.round("__sum", 2).alias("total_revenue"), "total_quantity", "order_count", F.round(F.try_divide("__sum", "order_count"), 2).alias("avg_order_value")
-    )
+    ).orderBy(F.col("total_revenue").desc_nulls_last(), "region")
 
 
 def top_categories(clean: DataFrame) -> DataFrame:
     return clean.where(F.col("category").isNotNull()).groupBy("category").agg(
         _mean("discount_percent").alias("avg_discount_percent"), F.count_distinct("order_id").alias("order_count"), _money("revenue").alias("total_revenue")
-    )
+    ).orderBy(F.col("avg_discount_percent").desc_nulls_last(), "category")
 
 
 _ANOMALY_COLUMNS = AGGREGATE_COLUMNS["anomaly_records"]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions import expressions as X
 from sluicebox.operators.dedup import mark_duplicates
-from sluicebox.operators.lookups import attach_matches, attach_region, fuzzy_matches, region_labels
+from sluicebox.operators.lookups import attach_matches, attach_region, fuzzy_matches, nearest_of, region_labels, region_of, short_list
 from sluicebox.schemas import RAW_COLUMNS, REQUIRED_COLUMNS
+from sluicebox.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -41,10 +42,6 @@ def judge_orders(raw: DataFrame, categories: DataFrame, regions: DataFrame, conf
     if missing := [c for c in REQUIRED_COLUMNS if c not in raw.columns]:
         raise ValueError(f"raw orders lack the columns {missing}")
     rows = raw.select(F.col(order), *[(F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(f"raw_{c}") for c in RAW_COLUMNS])
-    rows = rows.withColumn("order_id", X.normalise_string(F.col("raw_order_id"))).withColumn("product_name", X.normalise_string(F.col("raw_product_name")))
-    no_key = (F.col("order_id") == "") | (F.col("product_name") == "")
-    # rows without a key take no part in deduplication: each has a key of its own
-    rows = rows.withColumn("__key", F.when(no_key, F.concat(F.lit("\u0000"), F.col(order).cast("string"))).otherwise(F.col("order_id")))
     as_of = F.lit(config.as_of).cast("date")
     rules = [
         (F.col("category").isNull(), "unknown_category"),
@@ -55,33 +52,57 @@ def judge_orders(raw: DataFrame, categories: DataFrame, regions: DataFrame, conf
         (~X.in_date_range(F.col("__date"), as_of), "sale_date_out_of_range"),
         (~F.coalesce((F.col("revenue") >= 0) & (F.col("revenue") < 1_000_000), F.lit(False)), "invalid_calculated_revenue"),
     ]
-    broken = F.coalesce(*[F.when(rule, F.lit(reason)) for rule, reason in rules])
-
-    spellings, labels = fuzzy_matches(rows, "raw_category", categories), region_labels(regions)
-
-    def valued(some: DataFrame) -> DataFrame:
-        some = attach_region(attach_matches(some, "raw_category", spellings, "category"), "raw_region", labels, "region")
-        some = _worked_out(some, **{f"__{c}": X.normalise_string(F.col(f"raw_{c}")) for c in ("quantity", "unit_price", "discount_percent", "sale_date")})
-        some = _worked_out(
-            some,
-            quantity=X.quantity_of(F.col("__quantity")),
-            unit_price=X.price_of(F.col("__unit_price")),
-            discount_percent=X.discount_of(F.col("__discount_percent")),
-            __day=X.date_of(F.col("__sale_date")),
-        )
-        some = some.withColumn("__date", X.plausible_date(F.col("__day"))).drop("__quantity", "__unit_price", "__discount_percent", "__sale_date", "__day")
-        return _worked_out(some, revenue=X.order_revenue(F.col("unit_price"), F.col("quantity"), F.col("discount_percent")))
-
-    marked = mark_duplicates(rows, "__key", order, lambda some: valued(some).withColumn("passes", ~no_key & broken.isNull()), config.chunk_size, "__duplicate")
-    judged = valued(marked)
-    reason = F.when(no_key, "missing_order_id_or_product").when(F.col("__duplicate"), "duplicate_order_id").otherwise(broken)
+    texts = ("order_id", "product_name", "category", "quantity", "unit_price", "discount_percent", "region", "sale_date")
+    rows = _worked_out(rows, **{f"__{c}": X.normalise_string(F.col(f"raw_{c}")) for c in texts})
+    rows = _resolved(rows, categories, regions)
+    rows = _worked_out(
+        rows,
+        quantity=X.quantity_of(F.col("__quantity")),
+        unit_price=X.price_of(F.col("__unit_price")),
+        discount_percent=X.discount_of(F.col("__discount_percent")),
+        __day=X.date_of(F.col("__sale_date")),
+    )
+    rows = rows.withColumn("__date", X.plausible_date(F.col("__day"))).withColumnsRenamed({"__order_id": "order_id", "__product_name": "product_name"})
+    rows = _worked_out(rows, revenue=X.order_revenue(F.col("unit_price"), F.col("quantity"), F.col("discount_percent")))
+    no_key = (F.col("order_id") == "") | (F.col("product_name") == "")
+    rows = rows.withColumn("__broken", F.coalesce(F.when(no_key, F.lit("missing_order_id_or_product")), *[F.when(rule, F.lit(reason)) for rule, reason in rules]))
+    # rows without a key take no part in deduplication: each has a key of its own
+    rows = rows.withColumn("__key", F.when(no_key, F.concat(F.lit("\u0000"), F.col(order).cast("string"))).otherwise(F.col("order_id")))
+    kept = [order, *[f"raw_{c}" for c in RAW_COLUMNS], *VALUES, "__date", "__broken", "__key"]
+    # every value is worked out in this one pass; what follows reads the judged rows back
+    rows = cut_lineage(rows.select(*kept)).withColumn("__passes", F.col("__broken").isNull())
+    judged = mark_duplicates(rows, "__key", order, "__passes", config.chunk_size, "__duplicate")
+    late = F.col("__duplicate") & ~F.col("__broken").eqNullSafe("missing_order_id_or_product")
+    reason = F.when(late, F.lit("duplicate_order_id")).otherwise(F.col("__broken"))
     return judged.select(
         "*",
         X.epoch_seconds(F.col("__date")).alias("sale_date"),
         X.clean_email(F.col("raw_customer_email")).alias("customer_email"),
         X.heavy_discount_flag(F.col("discount_percent")).alias("anomaly_flag"),
         reason.alias("rejection_reason"),
-    ).drop("__date", "__key", "__duplicate")
+    ).drop("__date", "__key", "__duplicate", "__broken", "__passes")
+
+
+VALUES = ("order_id", "product_name", "category", "region", "quantity", "unit_price", "discount_percent", "revenue")
+
+
+def _resolved(rows: DataFrame, categories: DataFrame, regions: DataFrame) -> DataFrame:
+    """``rows`` with category and region: by expressions for short lists, by joins for long ones."""
+    names, entries = short_list(categories.where("canonical IS NOT NULL"), ["canonical"]), short_list(regions, ["raw_label", "canonical"])
+    inline = {}
+    if names is not None:
+        inline["__lower"] = F.lower("__category")
+    rows = _worked_out(rows, **inline) if inline else rows
+    inline = {}
+    if names is not None:
+        inline["category"] = nearest_of(F.col("__lower"), [n for (n,) in names])
+    else:
+        rows = attach_matches(rows, "raw_category", fuzzy_matches(rows, "raw_category", categories), "category")
+    if entries is not None:
+        inline["region"] = region_of(F.col("__region"), entries)
+    else:
+        rows = attach_region(rows, "raw_region", region_labels(regions), "region")
+    return _worked_out(rows, **inline) if inline else rows
 
 
 def clean_rows(judged: DataFrame) -> DataFrame:

@@ -15,6 +15,18 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(len(df.columns)).cast("bigint").alias("columns"), kinds).select("rows", "columns", "c.column", "c.type")
 
 
+def extent(df: DataFrame, key: str = "order_id", date: str = "sale_date") -> DataFrame:
+    """(rows, orders, first_date, last_date) of cleaned rows, dates as text; null where there are none."""
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("orders"), F.min(date).alias("a"), F.max(date).alias("b"))
+    return counted.select("rows", "orders", *[F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd").alias(n) for c, n in (("a", "first_date"), ("b", "last_date"))])
+
+
+def reason_view(df: DataFrame, column: str, reasons: list[str] | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a page on rows with reasons shows: (summary, counts of the commonest reasons, all reasons, a preview of the chosen rows)."""
+    chosen = filter_by_reasons(df, column, reasons or [])
+    return dataset_summary(df), reason_counts(df, column), options(df.select(fill_label(F.col(column)).alias(column)), column), preview(chosen, df.columns, limit)
+
+
 def top_by(df: DataFrame, label: str, metric: str, limit: int = 15) -> DataFrame:
     """The ``limit`` rows of highest metric, ties by label."""
     return df.select(label, metric).orderBy(F.col(metric).desc_nulls_last(), F.col(label).asc_nulls_first()).limit(limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluicebox.functions.expressions import normalise_string, title_case
@@ -30,10 +30,11 @@ def category_table(spark: SparkSession, names: tuple[str, ...] = CATEGORIES) ->
     return spark.createDataFrame([(n,) for n in names], "canonical string")
 
 
-def region_table(spark: SparkSession, mapping: dict[str, str] | None = None) -> DataFrame:
+def region_table(spark: SparkSession, mapping: dict[str, str] | None = None, regions: list[str] | None = None) -> DataFrame:
     """(raw_label, canonical); targets are checked to be known regions or UNKNOWN."""
     mapping = REGION_MAP if mapping is None else mapping
-    if wrong := {v for v in mapping.values() if v != UNKNOWN and v not in set(REGIONS) | set(mapping)}:
+    known = {UNKNOWN, *(REGIONS if regions is None else regions), *(REGION_MAP.values() if mapping is REGION_MAP else ())}
+    if wrong := set(mapping.values()) - known:
         raise ValueError(f"mapped to no known region: {sorted(wrong)}")
     return spark.createDataFrame(list(mapping.items()), "raw_label string, canonical string")
 
@@ -44,15 +45,36 @@ def resolve_exact(df: DataFrame, column: str, canonical: DataFrame, output: str)
     return df.join(broadcast_if_small(named), F.lower(normalise_string(F.col(column))) == F.col("__k"), "left").drop("__k").withColumnRenamed("__c", output)
 
 
+#: Entries up to which a list is written into the expression itself, so that nothing is joined.
+INLINE = 200
+
+
+def short_list(df: DataFrame, columns: list[str]) -> list[tuple] | None:
+    """Distinct rows of ``columns`` if they are at most INLINE, else None."""
+    found = df.select(*columns).distinct().limit(INLINE + 1).collect()
+    return [tuple(row) for row in found] if len(found) <= INLINE else None
+
+
+def nearest_of(text: Column, names: list[str], most: int = 2) -> Column:
+    """The name of least edit distance to a lower-case text, at most ``most``; ties to the first name. Equal texts need no distances."""
+    if not names:
+        return F.lit(None).cast("string")
+    same = F.create_map(*[F.lit(x) for low, n in sorted({n.lower(): n for n in sorted(names, reverse=True)}.items()) for x in (low, n)])
+    options = [F.when((d := F.levenshtein(text, F.lit(n.lower()), most)) >= 0, F.struct(d.alias("d"), F.lit(n).alias("n"))) for n in sorted(names)]
+    return F.when(text == "", None).otherwise(F.coalesce(F.try_element_at(same, text), F.array_min(F.array(*options)).getField("n")))
+
+
 def fuzzy_matches(df: DataFrame, column: str, canonical: DataFrame, most: int = 2) -> DataFrame:
     """(spelling, match): for each distinct spelling the canonical name of least edit distance, at most ``most``; ties to the first name.
 
-    Distinct spellings are held against the short list: the work grows with them, not with the rows.
-    The result is worked out once, and marked for broadcast if it is small.
+    For lists too long to be written into an expression. Names and spellings within the edits have
+    lengths no further apart than those, so they are joined by length: spellings of one length meet the
+    names of at most ``2 * most + 1`` lengths. The work grows with the spellings, not with the rows.
     """
     values = df.select(F.lower(normalise_string(F.col(column))).alias("spelling")).where("spelling <> ''").distinct()
-    names = broadcast_if_small(canonical.select(F.col("canonical").alias("name")).distinct())
-    pairs = values.join(names, F.levenshtein(F.col("spelling"), F.lower("name"), most) >= 0)
+    names = canonical.select(F.col("canonical").alias("name")).distinct()
+    near = names.select("name", F.explode(F.sequence(F.length("name") - most, F.length("name") + most)).alias("size"))
+    pairs = values.withColumn("size", F.length("spelling")).join(near, "size").where(F.levenshtein(F.col("spelling"), F.lower("name"), most) >= 0)
     nearest = F.min_by("name", F.struct(F.levenshtein(F.col("spelling"), F.lower("name")), "name"))
     return broadcast_if_small(cut_lineage(pairs.groupBy("spelling").agg(nearest.alias("match"))))
 
@@ -65,6 +87,9 @@ def attach_matches(df: DataFrame, column: str, matches: DataFrame, output: str)
 
 def resolve_fuzzy(df: DataFrame, column: str, canonical: DataFrame, output: str, most: int = 2) -> DataFrame:
     """``output`` by the canonical name of least edit distance, at most ``most``; ties to the first name."""
+    names = short_list(canonical.select("canonical").where("canonical IS NOT NULL"), ["canonical"])
+    if names is not None:
+        return df.withColumn(output, nearest_of(F.lower(normalise_string(F.col(column))), [n for (n,) in names], most))
     return attach_matches(df, column, fuzzy_matches(df, column, canonical, most), output)
 
 
@@ -85,7 +110,23 @@ def attach_region(df: DataFrame, column: str, labels: tuple[DataFrame, DataFrame
     return joined.withColumn(output, F.when(found != UNKNOWN, found)).drop("__r", "__e", "__l", "__f")
 
 
+def region_of(label: Column, entries: list[tuple[str, str]]) -> Column:
+    """Canonical region of a label, by the exact entry, else regardless of case; UNKNOWN and missing give null."""
+    exact: dict[str, str] = {}
+    folded: dict[str, str] = {}
+    for raw, canonical in sorted(e for e in entries if None not in e):
+        exact[raw] = min(canonical, exact.get(raw, canonical))
+        folded[raw.lower()] = min(canonical, folded.get(raw.lower(), canonical))
+    if not exact:
+        return F.lit(None).cast("string")
+    by = [F.create_map(*[F.lit(x) for pair in m.items() for x in pair]) for m in (exact, folded)]
+    return F.nullif(F.coalesce(F.try_element_at(by[0], label), F.try_element_at(by[1], F.lower(label))), F.lit(UNKNOWN))
+
+
 def resolve_region(df: DataFrame, column: str, mapping: DataFrame, output: str) -> DataFrame:
+    entries = short_list(mapping, ["raw_label", "canonical"])
+    if entries is not None:
+        return df.withColumn(output, region_of(normalise_string(F.col(column)), entries))
     return attach_region(df, column, region_labels(mapping), output)
 
 

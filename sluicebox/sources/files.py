@@ -10,24 +10,32 @@ from pyspark.sql import functions as F
 
 from sluicebox.operators.lookups import UNKNOWN
 from sluicebox.schemas import CLEAN_SCHEMA, RAW_COLUMNS, RAW_SCHEMA
+from sluicebox.session import cut_lineage
+from sluicebox.sources.records import header_of, read_records
 
 #: Texts that a column scan for lookups takes for null.
 NULL_TOKENS = ("", "NULL", "null", "N/A", "n/a", "NA", "NaN", "nan", "None", "<NA>", "#N/A")
 
 
-def read_orders_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Raw orders as text, whatever columns the file has of them; the empty field alone is null. Quoted fields may hold line ends."""
-    first = paths if isinstance(paths, str) else paths[0]
-    names = spark.read.option("header", True).option("escape", '"').csv(first).columns
-    known = set(RAW_COLUMNS)
-    schema = ", ".join(f"`{n}` string" for n in names)
-    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False).csv(paths)
-    return rows.select(*[F.col(f"`{n}`") for n in names if n in known])
+def read_orders_csv(spark: SparkSession, paths: str | list[str], order: str = "row_index") -> tuple[DataFrame, DataFrame]:
+    """Raw orders as text with their number (``order``), and the records that are none (order, record, reason).
+
+    Orders have whatever known columns the files have; the empty field alone is null. Quoted fields may
+    hold line ends; several files are numbered by path. The files are read once, to the checkpoint folder.
+    """
+    names = header_of(spark, paths)
+    rows = cut_lineage(read_records(spark, paths, names, order))
+    place = {name: i for i, name in reversed(list(enumerate(names)))}
+    orders = rows.where("reason IS NULL").select(order, *[F.col(f"c{place[n]}").alias(n) for n in RAW_COLUMNS if n in place])
+    return orders, rows.where("reason IS NOT NULL").select(order, "record", "reason")
 
 
 def read_column_csv(spark: SparkSession, paths: list[str], column: str) -> DataFrame:
-    """One column of several files, null tokens dropped; only that column is parsed."""
-    rows = spark.read.option("header", True).option("escape", '"').csv(paths).select(column)
+    """One column of several files, null tokens dropped, and records that can't be read left out."""
+    names = header_of(spark, paths)
+    if column not in names:
+        raise ValueError(f"no column {column!r} in {names}")
+    rows = read_records(spark, paths, names).where("reason IS NULL").select(F.col(f"c{names.index(column)}").alias(column))
     return rows.where(F.col(column).isNotNull() & ~F.col(column).isin(*NULL_TOKENS))
 
 
@@ -39,7 +47,7 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_artefact(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    return spark.read.option("header", True).option("inferSchema", True).option("escape", '"').option("multiLine", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
 def write_clean(rows: DataFrame, path: str) -> None:
@@ -49,20 +57,27 @@ def write_clean(rows: DataFrame, path: str) -> None:
 
 
 def write_rejects(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    write_orders_csv(rows, path)
 
 
 def write_orders_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header, quotes doubled and white space kept, so that it reads back as it is."""
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(**kept).csv(path)
 
 
 def default_paths(input_csv: str, output_dir: str | None = None) -> tuple[str, str]:
-    """Where the cleaned rows and the rejects of an input go."""
+    """Where the cleaned rows and the rejects of an input go; records that are no orders go beside the rejects."""
     source = Path(input_csv)
     folder = Path(output_dir) if output_dir else source.parent
     return str(folder / f"{source.stem}_clean.parquet"), str(folder / f"{source.stem}_rejected.csv")
 
 
+def malformed_path(reject_path: str) -> str:
+    """Where records that are no orders go."""
+    return reject_path.removesuffix("_rejected.csv") + "_malformed.csv"
+
+
 def list_artefacts(folder: str, suffix: str, leave_out: tuple[str, ...] = ("anomaly_records",)) -> list[str]:
     """Sorted files of a suffix; none if the folder is absent."""
     return sorted(str(p) for p in Path(folder).glob(f"*{suffix}") if p.stem not in leave_out) if Path(folder).is_dir() else []

@@ -1,4 +1,6 @@
 import json
+import random
+import subprocess
 
 import pytest
 
@@ -31,8 +33,102 @@ def test_clean_run_from_csv(spark, tmp_path):
 def test_round_trip_of_odd_text(spark, tmp_path):
     rows = OrderGenerator(spark, seed=1).rows(200)
     files.write_orders_csv(rows, str(tmp_path / "orders"))
-    back = files.read_orders_csv(spark, str(tmp_path / "orders"))
-    assert back.count() == 200 and back.columns == rows.columns
+    back, malformed = files.read_orders_csv(spark, str(tmp_path / "orders"))
+    assert back.count() == 200 and back.columns == ["row_index", *rows.columns] and malformed.isEmpty()
+
+
+HEADER = "order_id,product_name,category,quantity,unit_price,discount_percent,region,sale_date,customer_email\n"
+
+
+def test_quoted_line_ends_and_quotes_in_rejects(spark, tmp_path):
+    source = tmp_path / "feed.csv"
+    source.write_bytes(("\ufeff" + HEADER + 'O1,"Mug\nbig ""x""",Kitchen,2,10,0,Mumbai,2024-01-05,a@b.de\r\n\nO2,"Pan, ""big""\n",Nowhere,1,5,0,Mumbai,2024-01-05,\nO3,Cup,Kitchen,1,5,0,Mumbai,2024-01-05\nO4,"a"b,Kitchen,1,5,0,Mumbai,2024-01-05,\nO5,Cup,Kitchen,1,5,0,Mumbai,2024-01-05,,,\n').encode())
+    out = tmp_path / "elsewhere"
+    clean, rejected = pipeline.clean_csv_to_parquet(spark, str(source), config=CleanConfig(as_of="2024-12-31"), output_dir=str(out))
+    assert clean == str(out / "feed_clean.parquet") and rejected == str(out / "feed_rejected.csv")
+    assert sorted((r.order_id, r.product_name) for r in files.read_clean(spark, clean).collect()) == [("O1", 'Mug\nbig "x"'), ("O3", "Cup")]
+    orders, none = files.read_orders_csv(spark, rejected)
+    assert [(r.order_id, r.product_name, r.category) for r in orders.collect()] == [("O2", 'Pan, "big"\n', "Nowhere")] and none.isEmpty()
+    assert {r.rejection_reason for r in files.read_artefact(spark, rejected).collect()} == {"unknown_category"}
+    bad = files.read_artefact(spark, files.malformed_path(rejected)).collect()
+    assert sorted((r.row_index, r.reason) for r in bad) == [(3, "bad_quoting"), (4, "column_count")]
+
+
+def test_files_are_numbered_by_path(spark, tmp_path):
+    (tmp_path / "b.csv").write_text(HEADER + "".join(f"O{i},B{i},Kitchen,1,5,0,Mumbai,2024-01-05,\n" for i in range(199)))
+    (tmp_path / "a.csv").write_text(HEADER + "O1,First,Kitchen,1,5,0,Mumbai,2024-01-05,\n")
+    orders, _ = files.read_orders_csv(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")])
+    rows = orders.collect()
+    assert sorted(r.row_index for r in rows) == list(range(200))
+    assert {r.row_index: r.product_name for r in rows}[0] == "First"
+    clean, _ = pipeline.clean_csv_to_parquet(spark, str(tmp_path), str(tmp_path / "out"), config=CleanConfig(as_of="2024-12-31"))
+    assert [r.product_name for r in files.read_clean(spark, clean).where("order_id = 'O1'").collect()] == ["First"]
+    (tmp_path / "c.csv").write_text("")
+    assert files.read_orders_csv(spark, str(tmp_path / "c.csv"))[0].count() == 0
+
+
+@pytest.mark.parametrize("size", [200, 1000, 100_000])
+def test_records_over_blocks(spark, tmp_path, size):
+    import csv
+
+    rng = random.Random(size)
+    rows = [[f"O{i}", *("".join(rng.choice(["ab", "\n", '"', ",", "\r\n", " é", "xyz" * 20]) for _ in range(rng.randint(1, 6))) for _ in range(2))] for i in range(300)]
+    for name, part in (("a.csv", rows[:280]), ("b.csv", rows[280:])):
+        with open(tmp_path / name, "w", encoding="utf-8", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows([["order_id", "product_name", "category"], *part])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        orders, malformed = files.read_orders_csv(spark, str(tmp_path))
+        got = [[r.order_id, r.product_name, r.category] for r in orders.orderBy("row_index").collect()]
+        assert got == rows and [r.row_index for r in orders.orderBy("row_index").collect()] == list(range(300)) and malformed.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_an_open_quote_over_many_blocks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "O1,Cup,Kitchen,1,5,0,Mumbai,2024-01-05,\nO2,\"Cup,Kitchen\n" + "x,y\n" * 400)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        orders, malformed = files.read_orders_csv(spark, str(tmp_path))
+        assert [r.order_id for r in orders.collect()] == ["O1"]
+        bad = malformed.collect()
+        assert {r.reason for r in bad} == {"bad_quoting"} and sum(r.record.count("x,y") for r in bad) == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lookups_reach_the_cleaner(spark, tmp_path):
+    source = tmp_path / "feed.csv"
+    source.write_text(HEADER + "O1,Cup,Kites,1,5,0,Mumbai,2024-01-05,\nO2,Cup,Kitchen,1,5,0,Gotham,2024-01-05,\n")
+    folder = tmp_path / "lookups"
+    folder.mkdir()
+    reasons = lambda path: [r.rejection_reason for r in files.read_artefact(spark, path).collect()]
+    config = CleanConfig(as_of="2024-12-31")
+    assert sorted(reasons(pipeline.clean_csv_to_parquet(spark, str(source), config=config, lookups_dir=str(folder))[1])) == ["unknown_category", "unknown_region"]
+    files.write_lookup(["Kitchen", "Kites"], str(folder / "common_categories.json"))
+    files.write_lookup(["Gotham City", "Mumbai"], str(folder / "common_regions.json"))
+    files.write_lookup({"Gotham": "Gotham City", "Mumbai": "Mumbai"}, str(folder / "region_map.json"))
+    clean, rejected = pipeline.clean_csv_to_parquet(spark, str(source), config=config, lookups_dir=str(folder))
+    assert sorted((r.category, r.region) for r in files.read_clean(spark, clean).collect()) == [("Kitchen", "Gotham City"), ("Kites", "Mumbai")]
+    files.write_lookup({"Gotham": "Atlantis"}, str(folder / "region_map.json"))
+    with pytest.raises(ValueError, match="no known region"):
+        pipeline.clean_csv_to_parquet(spark, str(source), config=config, lookups_dir=str(folder))
+
+
+def test_region_map_keeps_its_entries_and_a_failing_check_aborts(spark, tmp_path):
+    source = tmp_path / "feed.csv"
+    source.write_text(HEADER + "O1,Cup,Kitchen,1,5,0,Mumbay2,2024-01-05,\nO2,Cup,Kitchen,1,5,0,Atlantis,2024-01-05,\n")
+    files.write_lookup({"Mumbay2": "Delhi"}, str(tmp_path / "region_map.json"))
+    found = pipeline.build_region_lookup(spark, [str(source)], str(tmp_path / "region_map.json"))
+    assert found["Mumbay2"] == "Delhi" and found["Atlantis"] == "UNKNOWN" and found["Delhi"] == "Delhi"
+    with pytest.raises(subprocess.CalledProcessError):
+        pipeline.update_lookups(spark, [str(source)], str(tmp_path), check=[str(tmp_path / "no_such_test.py")])
 
 
 def test_lookup_files(spark, tmp_path):
