@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluicebox.functions import expressions as X
@@ -206,6 +206,59 @@ def category_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.options(_clean(spark, sf_dir), "category")
 
 
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_sales written as CSV files and read back as whole records, in the checkpoint folder."""
+    from sluicebox.session import shared_folder
+    from sluicebox.sources import files
+
+    folder = shared_folder(spark, "csv_round_trip")
+    rows = _raw(spark, sf_dir)
+    # a text of one value per row shows that line ends, quotes and blanks survive
+    odd = rows.withColumn("product_name", F.concat(F.col("product_name"), F.when(F.col("row_id") % 7 == 0, F.lit(',\n"x" ')).otherwise(F.lit(""))))
+    files.write_orders_csv(odd.select("order_id", "product_name", "category", "region", "sale_date"), folder)
+    orders, malformed = files.read_orders_csv(spark, folder)
+    return orders.groupBy("product_name", "region").agg(F.count(F.lit(1)).alias("row_count"), F.count("order_id").alias("keyed"), F.min("sale_date").alias("first_date")).unionByName(
+        malformed.select(F.col("record").alias("product_name"), F.col("reason").alias("region"), F.lit(1).cast("bigint").alias("row_count"), F.lit(0).cast("bigint").alias("keyed"), F.lit(None).cast("string").alias("first_date"))
+    )
+
+
+def anomaly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page on anomalies: counts of the reasons, as its heading shows them."""
+    return explore.reason_view(aggregates.anomaly_records(_clean(spark, sf_dir), 20, balanced=True), "anomaly_reason")[1]
+
+
+def anomaly_view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page on anomalies with one reason chosen: the rows it lists."""
+    return explore.reason_view(aggregates.anomaly_records(_clean(spark, sf_dir), 20, balanced=True), "anomaly_reason", ["high_discount"])[3].select("rank", "order_id", "anomaly_reason")
+
+
+def reject_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page on rejects: counts of the commonest reasons."""
+    return explore.reason_view(cleaning.rejected_rows(_judged(spark, sf_dir)), "rejection_reason")[1]
+
+
+def data_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.extent(_clean(spark, sf_dir))
+
+
+def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the funnel on rows of clean_sales, of which some are given a price, a date or an amount out of range."""
+    rows = _clean(spark, sf_dir).where("category IS NOT NULL AND region IS NOT NULL")
+    rows = rows.withColumn("row_index", F.row_number().over(Window.partitionBy("batch_id").orderBy(*[c for c in rows.columns if c != "batch_id"])) + F.col("batch_id") * 1_000_000)
+    turn = F.pmod("row_index", F.lit(10))
+    price = F.when(turn == 1, F.lit("0")).when(turn == 2, F.lit("50000")).when(turn == 3, F.lit("49999.99")).otherwise(F.col("unit_price").cast("decimal(18,2)").cast("string"))
+    quantity = F.when(turn == 3, F.lit("21")).when(turn == 4, F.lit("-2")).otherwise(F.col("quantity").cast("string"))
+    date = F.when(turn == 5, F.lit("1990-01-01")).when(turn == 6, F.lit("2024-02-30")).otherwise(F.lit("2024-03-01"))
+    made = rows.select(
+        "row_index", F.concat("order_id", F.lit("-"), "row_index").alias("order_id"), "product_name", "category", quantity.alias("quantity"), price.alias("unit_price"),
+        F.when(turn == 3, F.lit("0")).otherwise(F.lit("0.1")).alias("discount_percent"), "region", date.alias("sale_date"), "customer_email",
+    )
+    categories = rows.select(F.col("category").alias("canonical")).distinct()
+    regions = rows.select(F.col("region").alias("raw_label"), F.col("region").alias("canonical")).distinct()
+    judged = cleaning.judge_orders(made, categories, regions, cleaning.CleanConfig(as_of=AS_OF))
+    return judged.select("row_index", F.coalesce("rejection_reason", F.lit("clean")).alias("reason"))
+
+
 def best_sellers_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.best_sellers(aggregates.top_products_by_category(_clean(spark, sf_dir)), "revenue")
 
@@ -244,6 +297,6 @@ QUERIES = {
         category_exact, category_fuzzy, region_resolve, region_unmapped, dedup_keep_first, dedup_chunked, dedup_global, id_intersection,
         clean_orders, reject_orders, clean_funnel, reject_reasons, category_counts, lookup_share, region_map_build, product_category_vote, product_name_normalise,
         dataset_summary, category_metric_top15, category_metric_sum, category_metric_sum_revenue, default_chart, histogram30, reason_counts, filter_by_reason,
-        category_options, best_sellers_topn, best_sellers_drilldown, preview50, labels, generator_dirty, generator_clean_funnel,
+        category_options, best_sellers_topn, best_sellers_drilldown, preview50, labels, generator_dirty, generator_clean_funnel, csv_round_trip, anomaly_view, anomaly_view_rows, reject_view, data_extent, all_rules,
     )
 }

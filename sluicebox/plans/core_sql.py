@@ -87,12 +87,12 @@ ranked AS (
 _TIES = "order_id NULLS FIRST, product_name NULLS FIRST, category NULLS FIRST, region NULLS FIRST, quantity NULLS FIRST, unit_price NULLS FIRST, sale_date NULLS FIRST, customer_email NULLS FIRST"
 
 
-def _anomalies(most: str) -> str:
+def _anomalies(most: str, each: int = 5) -> str:
     return f"""WITH revenue_list AS (
         SELECT *, 'high_revenue' AS anomaly_reason, 0 AS list, row_number() OVER (ORDER BY revenue DESC, {_TIES}, discount_percent NULLS FIRST) AS place FROM clean_sales WHERE revenue IS NOT NULL),
     discount_list AS (
         SELECT *, 'high_discount', 1, row_number() OVER (ORDER BY discount_percent DESC, {_TIES}, revenue NULLS FIRST) AS place FROM clean_sales WHERE discount_percent IS NOT NULL),
-    both_lists AS (SELECT * FROM revenue_list WHERE place <= 5 UNION ALL SELECT * FROM discount_list WHERE place <= 5),
+    both_lists AS (SELECT * FROM revenue_list WHERE place <= {each} UNION ALL SELECT * FROM discount_list WHERE place <= {each}),
     first AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY list, place) AS n FROM both_lists)
     SELECT * FROM (SELECT row_number() OVER (ORDER BY list, place) AS rank, order_id, product_name, category, region, revenue, quantity, unit_price, discount_percent, sale_date, anomaly_reason
                    FROM first WHERE n = 1) WHERE rank <= {most}"""
@@ -175,4 +175,23 @@ SQL = {
     "preview50": "SELECT row_id, order_id, category, sale_date FROM raw_sales ORDER BY row_id LIMIT 50",
     "labels": f"""SELECT category, {_TITLE.format('lower(category)')} AS titled, category || ' (' || format('{{:,}}', n) || ')' AS label
         FROM (SELECT coalesce(category, 'UNKNOWN') AS category, count(*) AS n FROM clean_sales GROUP BY clean_sales.category)""",
+    "csv_round_trip": r"""SELECT nullif(product_name || CASE WHEN row_id % 7 = 0 THEN ',' || chr(10) || '"x" ' ELSE '' END, '') AS product_name, nullif(region, '') AS region, count(*) AS row_count,
+        count(nullif(order_id, '')) AS keyed, min(nullif(sale_date, '')) AS first_date FROM raw_sales GROUP BY ALL""",
+    "anomaly_view": f"SELECT anomaly_reason AS reason, count(*) AS count, anomaly_reason || ' (' || format('{{:,}}', count(*)) || ')' AS label FROM ({_anomalies('40', 20)}) GROUP BY anomaly_reason",
+    "anomaly_view_rows": f"SELECT rank, order_id, anomaly_reason FROM ({_anomalies('40', 20)}) WHERE anomaly_reason = 'high_discount' ORDER BY rank LIMIT 50",
+    "reject_view": f"""{_JUDGED} SELECT rejection_reason AS reason, count(*) AS count, rejection_reason || ' (' || format('{{:,}}', count(*)) || ')' AS label
+        FROM judged WHERE rejection_reason IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
+    "data_extent": """SELECT count(*) AS rows, count(DISTINCT order_id) AS orders, strftime(make_timestamp(min(sale_date) * 1000000), '%Y-%m-%d') AS first_date,
+        strftime(make_timestamp(max(sale_date) * 1000000), '%Y-%m-%d') AS last_date FROM clean_sales""",
+    "all_rules": f"""WITH numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY order_id NULLS FIRST, product_name NULLS FIRST, category NULLS FIRST, quantity NULLS FIRST, unit_price NULLS FIRST, discount_percent NULLS FIRST,
+            region NULLS FIRST, sale_date NULLS FIRST, customer_email NULLS FIRST, revenue NULLS FIRST, anomaly_flag NULLS FIRST) + batch_id * 1000000 AS row_index
+        FROM clean_sales WHERE category IS NOT NULL AND region IS NOT NULL),
+    given AS (
+        SELECT row_index, row_index % 10 AS turn, order_id IS NULL OR {_strip('product_name')} = '' AS keyless,
+            CASE row_index % 10 WHEN 1 THEN 0 WHEN 2 THEN 50000 WHEN 3 THEN 49999.99 ELSE coalesce(CAST(CAST(unit_price AS DECIMAL(18,2)) AS DOUBLE), 0) END AS price,
+            CASE row_index % 10 WHEN 3 THEN 21 WHEN 4 THEN 0 ELSE greatest(coalesce(quantity, 0), 0) END AS number FROM numbered)
+    SELECT row_index, CASE WHEN keyless THEN 'missing_order_id_or_product' WHEN price <= 0 OR price >= 50000 THEN 'invalid_unit_price' WHEN number <= 0 THEN 'zero_quantity'
+        WHEN turn = 6 THEN 'invalid_sale_date' WHEN turn = 5 THEN 'sale_date_out_of_range'
+        WHEN round(price * number * CASE WHEN turn = 3 THEN 1 ELSE 0.9 END, 2) >= 1000000 THEN 'invalid_calculated_revenue' ELSE 'clean' END AS reason FROM given""",
 }
