@@ -23,8 +23,8 @@ from sluicebox.session import cut_lineage
 from sluicebox.sources.tables import broadcast_if_small
 
 UNKNOWN = "UNKNOWN"
-#: Least Jaccard similarity of token sets; the allowed edits change fewer tokens than that.
-SIMILARITY = 0.35
+#: Tokens that one edit can take from a value's tokens: a letter and the two pairs it is in.
+LOST_BY_EDIT = 3
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ı": "i", "æ": "ae", "œ": "oe"})
 
 
@@ -48,8 +48,19 @@ def tokens(key: str) -> list[str]:
 
 
 def edit_limit(length: int) -> int:
-    """Edits that a canonical entry of so many letters may have suffered."""
-    return 1 if length <= 4 else 2 if length <= 11 else 3
+    """Edits that a canonical entry of so many letters may have suffered; a single letter none, as any other would do."""
+    return 0 if length <= 1 else 1 if length <= 4 else 2 if length <= 11 else 3
+
+
+def shared_tokens(length: int) -> int:
+    """Tokens that an entry of so many letters still shares with a value within its edits: its similarity is no lower than that gives."""
+    return 2 * length + 1 - LOST_BY_EDIT * edit_limit(length)
+
+
+def least_shared(length: int) -> int:
+    """The same for a typed value of so many letters, over all entries that it may be meant for."""
+    meant = range(max(1, length - 3), length + 4)
+    return min((shared_tokens(n) for n in meant if abs(n - length) <= edit_limit(n)), default=1)
 
 
 def edits(a: str, b: str, limit: int) -> int:
@@ -70,10 +81,16 @@ def edits(a: str, b: str, limit: int) -> int:
     return min(last[-1], limit + 1)
 
 
-@F.pandas_udf(T.StructType([T.StructField("key", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))]))
+_FOLDED = T.StructType(
+    [T.StructField("key", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("least", T.IntegerType()), T.StructField("need", T.IntegerType())]
+)
+
+
+@F.pandas_udf(_FOLDED)
 def _folded(value: pd.Series) -> pd.DataFrame:
     keys = [fold_key(v) for v in value]
-    return pd.DataFrame({"key": keys, "tokens": [tokens(k) for k in keys]})
+    least, need = [least_shared(len(k)) for k in keys], [shared_tokens(len(k)) for k in keys]
+    return pd.DataFrame({"key": keys, "tokens": [tokens(k) for k in keys], "least": pd.Series(least, dtype="int32"), "need": pd.Series(need, dtype="int32")})
 
 
 @F.pandas_udf(T.IntegerType())
@@ -81,9 +98,9 @@ def _edits(typed: pd.Series, entry: pd.Series) -> pd.Series:
     return pd.Series([edits(a, b, edit_limit(len(b))) for a, b in zip(typed, entry)], dtype="int32")
 
 
-@F.pandas_udf(T.IntegerType())
-def _limit(entry: pd.Series) -> pd.Series:
-    return pd.Series([edit_limit(len(b)) for b in entry], dtype="int32")
+def _limit_of(length: Column) -> Column:
+    """``edit_limit`` of a column."""
+    return F.when(length <= 1, 0).when(length <= 4, 1).when(length <= 11, 2).otherwise(3)
 
 
 def _ordered(sets: DataFrame, keys: list[str], frequency: DataFrame) -> DataFrame:
@@ -92,42 +109,43 @@ def _ordered(sets: DataFrame, keys: list[str], frequency: DataFrame) -> DataFram
     return exploded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "t"))).getField("t").alias("tokens"))
 
 
-def _prefix(share: float) -> Column:
-    size = F.size("tokens")
-    return F.posexplode(F.slice("tokens", 1, (size - F.ceil(F.lit(share) * size) + 1).cast("int")))
+def _prefix(need: str) -> Column:
+    """The rarest tokens, of which at least one is shared wherever ``need`` tokens are."""
+    return F.posexplode(F.slice("tokens", 1, F.size("tokens") - F.col(need) + 1))
 
 
-def resolve_values(values: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def resolve_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """(field, value, canonical) for distinct ``values`` (field, value) by ``entries`` (field, label, canonical).
 
     The match is the entry within the allowed edits with fewest edits, then highest Jaccard
-    similarity, then first label; without one, UNKNOWN. A value of no letters or digits is UNKNOWN.
+    similarity, then first label; without one, UNKNOWN. A value of no letters or digits is UNKNOWN. The
+    similarity that two sets need follows from the edits that the entry's length allows, so no pair
+    within them is lost.
     """
-    typed = values.withColumn("f", _folded("value")).select("field", "value", "f.key", "f.tokens")
-    listed = entries.withColumn("f", _folded("label")).select("field", "label", "canonical", "f.key", "f.tokens")
-    listed = listed.where("key <> ''").groupBy("field", "key").agg(F.min_by(F.struct("canonical", "label", "tokens"), "label").alias("e")).select("field", "key", "e.*")
+    typed = values.withColumn("f", _folded("value")).select("field", "value", "f.key", "f.tokens", "f.least")
+    listed = entries.withColumn("f", _folded("label")).select("field", "label", "canonical", "f.key", "f.tokens", "f.need")
+    listed = listed.where("key <> ''").groupBy("field", "key").agg(F.min_by(F.struct("canonical", "label", "tokens", "need"), "label").alias("e")).select("field", "key", "e.*")
     typed = cut_lineage(typed)
     # the length filter, once for all entries: values too long for any of them go no further, however long they are
-    most = (listed.agg(F.max(F.size("tokens"))).collect()[0][0] or 0) / similarity
-    keys = typed.where("key <> ''").where(F.size("tokens") <= most).select("field", "key", "tokens").dropDuplicates(["field", "key"])
+    longest = (listed.agg(F.max(F.length("key"))).collect()[0][0] or 0) + edit_limit(1 << 20)
+    keys = typed.where("key <> ''").where(F.length("key") <= longest).select("field", "key", "tokens", "least").dropDuplicates(["field", "key"])
     frequency = keys.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     frequency = listed.select(F.explode("tokens").alias("t")).distinct().join(frequency, "t", "full").select("t", F.coalesce("df", F.lit(0)).alias("df"))
-    frequency = broadcast_if_small(frequency)
-    left = _ordered(keys, ["field", "key"], frequency).select("field", "key", "tokens", _prefix(similarity).alias("i", "t"))
-    right = _ordered(listed, ["field", "key", "label", "canonical"], frequency)
-    right = right.select("field", F.col("key").alias("entry"), "label", "canonical", F.col("tokens").alias("entry_tokens"), _prefix(similarity).alias("j", "t"))
+    frequency = broadcast_if_small(cut_lineage(frequency))
+    left = _ordered(keys, ["field", "key", "least"], frequency).select("field", "key", "tokens", _prefix("least").alias("i", "t"))
+    right = _ordered(listed, ["field", "key", "label", "canonical", "need"], frequency)
+    right = right.select("field", F.col("key").alias("entry"), "label", "canonical", "need", F.col("tokens").alias("entry_tokens"), _prefix("need").alias("j", "t"))
     met = left.join(broadcast_if_small(right), ["field", "t"])
     a, b = F.size("tokens"), F.size("entry_tokens")
-    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - 1e-9)
-    lengths = (a >= F.lit(similarity) * b) & (b >= F.lit(similarity) * a)
+    met = met.where(F.abs(F.length("key") - F.length("entry")) <= _limit_of(F.length("entry")))
     # the pair meets first at its rarest common token, before which nothing is shared
-    met = met.where(lengths).groupBy("field", "key", "entry", "label", "canonical").agg(
+    met = met.groupBy("field", "key", "entry", "label", "canonical", "need").agg(
         F.min_by(F.struct("i", "j"), F.struct("i", "j")).alias("at"), F.first("tokens").alias("tokens"), F.first("entry_tokens").alias("entry_tokens")
     )
-    met = met.where(1 + F.least(a - F.col("at.i") - 1, b - F.col("at.j") - 1) >= needed)
+    met = met.where(1 + F.least(a - F.col("at.i") - 1, b - F.col("at.j") - 1) >= F.col("need"))
     shared = F.size(F.array_intersect("tokens", "entry_tokens"))
-    met = met.withColumn("jaccard", shared / (a + b - shared)).where(F.col("jaccard") >= similarity)
-    near = met.withColumn("most", _limit("entry")).where(F.levenshtein("key", "entry") <= 2 * F.col("most")).withColumn("edits", _edits("key", "entry")).where("edits <= most")
+    met = met.withColumn("shared", shared).where(F.col("shared") >= F.col("need")).withColumn("jaccard", F.col("shared") / (a + b - F.col("shared")))
+    near = met.withColumn("most", _limit_of(F.length("entry"))).where(F.levenshtein("key", "entry") <= 2 * F.col("most")).withColumn("edits", _edits("key", "entry")).where("edits <= most")
     best = near.groupBy("field", "key").agg(F.min_by("canonical", F.struct("edits", -F.col("jaccard"), "label")).alias("canonical"))
     found = typed.join(best, ["field", "key"], "left")
     return found.select("field", "value", F.coalesce("canonical", F.lit(UNKNOWN)).alias("canonical"))

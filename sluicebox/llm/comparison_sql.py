@@ -39,7 +39,7 @@ pairs AS (
     FROM (SELECT DISTINCT field, value, {_key('value')} AS key FROM typed) t JOIN (SELECT *, {_key('label')} AS key FROM entries) e USING (field)),
 best AS (
     SELECT field, value, arg_min(canonical, edits) AS canonical FROM pairs
-    WHERE edits <= CASE WHEN size <= 4 THEN 1 WHEN size <= 11 THEN 2 ELSE 3 END GROUP BY ALL)
+    WHERE edits <= CASE WHEN size <= 1 THEN 0 WHEN size <= 4 THEN 1 WHEN size <= 11 THEN 2 ELSE 3 END GROUP BY ALL)
 SELECT row_id, field, coalesce(canonical, 'UNKNOWN') AS canonical FROM typed LEFT JOIN best USING (field, value)"""
 
 P6_FOUND = """

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sluicebox.llm import seen_keys as S
-from sluicebox.llm.canonical import edits, fold_key, map_to_canonical, tokens
+from sluicebox.llm.canonical import edit_limit, edits, fold_key, least_shared, map_to_canonical, shared_tokens, tokens
 
 ENTRIES = [("Board Games", "Board Games"), ("Lamps & Lighting", "Lamps & Lighting"), ("Kaldrun", "Kaldrun"), ("KLD", "Kaldrun"), ("Österhal", "Osterhal"), ("Osterhal", "Osterhal"), ("The Reach", "Whitcombe Reach")]
 
@@ -50,6 +50,28 @@ def test_no_pair_within_the_edits_is_lost(spark):
             assert got[i] in (near or ["UNKNOWN"]), value
 
 
+def test_short_entries_within_their_edits(spark):
+    entries = spark.createDataFrame([("Delhi", "Delhi"), ("books", "books"), ("UK", "UK"), ("Goa", "Goa"), ("Z", "Z"), ("Springfields", "Springfields")], "label string, canonical string")
+    cases = {"dxlxi": "Delhi", "bxoxs": "books", "ux": "UK", "ku": "UK", "gxa": "Goa", "y": "UNKNOWN", "sprxngfxelxs": "Springfields", "dxlx": "UNKNOWN", "oga": "Goa", "z": "Z", "eDlih": "Delhi", "xooxq": "UNKNOWN"}
+    rows = spark.createDataFrame(list(enumerate(cases)), "row_id bigint, name string")
+    assert {r.row_id: r.canonical for r in map_to_canonical(rows, "row_id", {"name": entries}).collect()} == dict(enumerate(cases.values()))
+
+
+def test_tokens_lost_by_edits():
+    rng = random.Random(5)
+    for _ in range(3000):
+        key = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 16)))
+        other = list(key)
+        for _ in range(edit_limit(len(key))):
+            at = rng.randrange(len(other) + 1)
+            kind = rng.randrange(3)
+            other[at : at + (kind > 0)] = [] if kind == 1 else [rng.choice("abcd")]
+        other = "".join(other)
+        if edits(other, key, 3) <= edit_limit(len(key)) and other:
+            shared = len(set(tokens(key)) & set(tokens(other)))
+            assert shared >= shared_tokens(len(key)) >= least_shared(len(other)) >= 1, (key, other)
+
+
 def test_edits():
     assert [edits(a, b, 3) for a, b in (("ab", "ba"), ("abc", "abc"), ("kitten", "sitting"), ("", "abcd"), ("abcdef", "badcfe"))] == [1, 0, 3, 4, 3]
     assert tokens("") == [] and tokens("aa") == ["a", "a2", "^a", "aa", "a$"]
