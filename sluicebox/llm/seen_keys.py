@@ -2,25 +2,27 @@
 
 The keys of the past are hashed, spread over buckets by the leading hash bits, reduced in each bucket
 to a range of ``count * 2**bits``, sorted, and stored as Golomb-Rice coded gaps in blocks with a small
-directory. A probe decodes the one block that can hold its hash. New rows are probed against the past;
-among themselves they are inserted in their order, where a gap of zero to an earlier row means seen.
-A bucket's size is bounded by the number of buckets, and copies of one key collapse before the
-shuffle, so a key that holds a third of all rows loads no task.
+directory. A probe decodes the one block that can hold its hash. The new rows' keys, each once with its
+earliest row, are probed against the coded set of the past; among themselves they are inserted in their
+order into a coded set of their own, where a gap of zero to an earlier key, or the key itself, means seen.
+Rows of one key collapse before they are shuffled, and the number of buckets bounds the keys of one, so
+a key that holds a third of all rows loads no task.
 
 An answer "new" is always right. An answer "seen" is wrong at a rate below ``2**-bits`` for each probed set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.session import cut_lineage
+from sluicebox.sources.tables import broadcast_if_small, is_small
+
 #: Keys in one block of a coded set: what one probe decodes at most.
 BLOCK = 64
 #: Keys that a bucket is meant to hold.
@@ -153,12 +155,11 @@ def bucket_count(rows: int) -> int:
 
 
 def seen_before(past: DataFrame, new: DataFrame, key: str, order: str, bits: int = 20, sets: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    """(order, key, copy, past, maybe, again): the rows of ``new`` that may have been seen.
+    """(order, key, past, maybe, again): the rows of ``new`` that may have been seen.
 
     ``past``: the coded set of the past holds the key, wrongly at a rate below ``2**-bits``. ``maybe``: an
     earlier row of ``new`` (``order``, a unique bigint, is smaller) has the same reduced hash, as wrongly;
-    ``again``: it has the same key. ``copy``: an earlier row of the same Arrow batch has the same key; such rows go out where they are
-    read, are certain, and are probed for nothing more.
+    ``again``: it has the same key.
 
     Keys are compared after ``normalised_key``; a null or blank key is never seen. ``sets`` may hold the
     stored result of ``build_sets``, made with ``buckets``. Names in ``past`` and ``new`` may clash;
@@ -169,36 +170,35 @@ def seen_before(past: DataFrame, new: DataFrame, key: str, order: str, bits: int
     if sets is None:
         sets = build_sets(past.select(normalised_key(F.col(f"`{key}`")).alias("k")), "k", buckets, bits)
     rows = new.select(F.col(f"`{order}`").cast("bigint").alias("o"), normalised_key(F.col(f"`{key}`")).alias("k")).where(F.col("k").isNotNull())
-    rows = rows.mapInArrow(_mark_copies, "o bigint, k string, copy boolean")
-    openers = rows.where(~F.col("copy")).select("o", "k", key_hash(F.col("k")).alias("h")).withColumn("bucket", bucket_of(F.col("h"), buckets))
+    firsts = rows.groupBy("k").agg(F.min("o").alias("first"), (F.count(F.lit(1)) > 1).alias("repeated")).withColumn("h", key_hash(F.col("k"))).withColumn("bucket", bucket_of(F.col("h"), buckets))
 
     def probe(keys: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
-        keys = keys.sort_values("o", kind="stable").reset_index(drop=True)
+        keys = keys.sort_values("first", kind="stable").reset_index(drop=True)
         hashes = keys["h"].to_numpy()
         held = np.zeros(len(keys), bool)
         for row in coded.itertuples():
             held |= CodedSet(row.held, int(row.span), row.rice, row.firsts, row.starts, row.body).holds(hashes)
-        # insertion in order: sorted by reduced hash, a gap of zero means that an earlier row had it
+        # insertion in order: sorted by reduced hash, a gap of zero means that an earlier key had it
         place = _reduced(hashes, _span(len(keys), bits))
         by = np.lexsort((np.arange(len(place)), place))
-        same = np.diff(place[by]) == 0
-        maybe = np.zeros(len(place), bool)
-        maybe[by[1:]] = same
-        group = np.unique(np.concatenate([by[1:][same], by[:-1][same]])) if len(by) else by
-        again = np.zeros(len(place), bool)
-        again[group] = keys["k"].iloc[group].duplicated().to_numpy()
-        return keys[["o", "k"]].assign(copy=False, past=held, maybe=maybe, again=again)[held | maybe]
+        alike = np.zeros(len(place), bool)
+        alike[by[1:]] = np.diff(place[by]) == 0
+        return keys[["k", "first"]].assign(past=held, alike=alike)[held | alike | keys["repeated"].to_numpy()]
 
-    probed = openers.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInPandas(probe, "o bigint, k string, copy boolean, past boolean, maybe boolean, again boolean")
-    copies = rows.where("copy").select("o", "k", "copy", F.lit(False).alias("past"), F.lit(True).alias("maybe"), F.lit(True).alias("again"))
-    return probed.unionByName(copies).select(F.col("o").alias(order), F.col("k").alias(key), "copy", "past", "maybe", "again")
+    probed = firsts.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInPandas(probe, "k string, first bigint, past boolean, alike boolean")
+    found = rows.join(broadcast_if_small(cut_lineage(probed)), "k")
+    again = F.col("o") > F.col("first")
+    return found.where(again | F.col("past") | F.col("alike")).select(F.col("o").alias(order), F.col("k").alias(key), "past", (again | F.col("alike")).alias("maybe"), again.alias("again"))
 
 
 def confirmed(found: DataFrame, past: DataFrame, key: str) -> DataFrame:
-    """The rows of ``seen_before`` that were seen: ``past`` is held against the keys themselves."""
-    old = past.select(normalised_key(F.col(f"`{key}`")).alias(key)).where(F.col(key).isNotNull()).distinct()
-    sure = found.where("again")
-    return sure.unionByName(found.where("past AND NOT again").join(old, key, "left_semi").select(*found.columns))
+    """The rows of ``seen_before`` that were seen: the keys that only the coded set of the past holds are looked up in ``past`` itself."""
+    sure, open_ = found.where("again"), found.where("past AND NOT again")
+    old = past.select(normalised_key(F.col(f"`{key}`")).alias(key)).where(F.col(key).isNotNull())
+    asked = open_.select(key).distinct()
+    if is_small(asked):
+        old = old.join(F.broadcast(asked), key, "left_semi").distinct()
+    return sure.unionByName(open_.join(old, key, "left_semi").select(*found.columns))
 
 
 def audit(found: DataFrame, past: DataFrame, new: DataFrame, key: str, bits: int) -> DataFrame:
@@ -209,18 +209,9 @@ def audit(found: DataFrame, past: DataFrame, new: DataFrame, key: str, bits: int
     counts = keyed.crossJoin(F.broadcast(all_)).crossJoin(F.broadcast(good))  # one row each
     unseen = F.col("keyed_rows") - F.col("seen")
     return counts.select(
-        "rows_in", "keyed_rows", "positives", "seen",
+        F.lit(bits).alias("bits"), "rows_in", "keyed_rows", "positives", "seen",
         (F.col("positives") - F.col("seen")).alias("false_positives"),
         F.try_divide(F.col("positives") - F.col("seen"), unseen).alias("audited_rate"),
         F.lit(2.0 * 2.0**-bits).alias("rate_bound"),
     )
 
-
-def _mark_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mark all but the earliest row of each key of a batch."""
-    for batch in batches:
-        frame = batch.to_pandas()
-        order = np.argsort(frame["o"].to_numpy(), kind="stable")
-        copy = np.zeros(len(frame), bool)
-        copy[order] = frame["k"].iloc[order].duplicated().to_numpy()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy)], names=["o", "k", "copy"])
