@@ -241,6 +241,35 @@ def test_found_and_restored(spark, model):
     assert G.restore_garbled(df.where("false"), "t", model).count() == 0
 
 
+FOREIGN = [
+    "Η πόλη είναι παλιά και το λιμάνι της έμεινε άδειο όλο τον χειμώνα", "Příliš žluťoučký kůň úpěl ďábelské ódy v příběhu o řece", "Çok güzel bir şehir, ağaçlar ve ışıklar içinde", "Đường phố Hà Nội rất đông người",
+]
+
+
+@pytest.mark.parametrize("line", FOREIGN)
+def test_clean_languages_that_the_sample_lacks(model, line):
+    label = G.label_lines(model, [line])[0]
+    assert label is None or G.restore_line(model, line, label) == (line, 0)
+
+
+def test_long_lines_are_seen_with_overlap(model):
+    line = " ".join([CLEAN[0]] * 200)
+    assert len(line) > 3 * G.LONG_LINE
+    wrong = line[:4500] + G.garble(line[4500:7000], ("utf-8", "cp1252", 1)) + line[7000:]
+    restored, hits = G.restore_line(model, wrong, G.label_lines(model, [wrong])[0])
+    assert restored == line and hits > 50
+
+
+def test_no_alphabet_is_needed():
+    rng = random.Random(16)
+    words = "řeka žluťoučký kůň úpěl ďábelské ódy příběh město škola přítel včera říká že už není čas".split()
+    texts = ["\n".join(" ".join(rng.choices(words, k=7)) for _ in range(6)) for _ in range(200)]
+    own = G.train([G.garble(t, ("utf-8", "cp1252", 1)) if i % 20 == 0 else t for i, t in enumerate(texts)])
+    assert all(label is None for label in G.label_lines(own, texts[0].split("\n")[:0] + texts[1].split("\n")))
+    wrong = G.garble(texts[1].split("\n")[0], ("utf-8", "cp1252", 1))
+    assert G.restore_line(own, wrong, G.label_lines(own, [wrong])[0])[0] == texts[1].split("\n")[0]
+
+
 def test_training_on_nothing(spark):
     empty = spark.createDataFrame([(1, None), (2, "")], "id bigint, t string")
     own = G.train_on(empty, "t")
