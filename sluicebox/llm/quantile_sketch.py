@@ -14,6 +14,7 @@ three standard errors of the estimates met on the way down, from the cells thems
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,15 @@ from pyspark.sql import types as T
 CODE_BITS = 28
 #: Nodes of the coarsest level, which is kept exactly.
 EXACT_BITS = 10
-WIDTH_BITS, ROWS = 9, 5
-WIDTH, TOP = 1 << WIDTH_BITS, CODE_BITS - EXACT_BITS
+ROWS, TOP = 5, CODE_BITS - EXACT_BITS
+#: Rank error that WIDTH_BITS of cells in a row keep to, by three standard errors on the least even data; each further bit divides it by the root of two.
+ERROR, WIDTH_BITS = 0.03, 9
 #: (group, code) weights that a task holds before it turns them into cells.
 HELD = 2_000_000
-#: Different codes up to which a group is kept as codes, and the level that stands for them.
-FEW, CODES = 400, -1
+#: Different codes up to which a group is stored as codes, unless asked otherwise.
+EXACT_CODES = 400
+#: Level that stands for a group kept as its codes.
+CODES = -1
 LEVEL, CELLS = "__level", "__cells"
 _FLIP = np.uint64(1 << 63)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -51,28 +55,38 @@ def decode_codes(codes: np.ndarray) -> np.ndarray:
     return np.where(ordered & _FLIP, ordered ^ _FLIP, ~(ordered | rest)).view(np.float64)
 
 
-def _places(nodes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+def width_bits(error: float = ERROR) -> int:
+    """Log of the cells in a row at which ranks are within ``error``."""
+    if not 0 < error < 1:
+        raise ValueError("error lies between 0 and 1")
+    return max(4, WIDTH_BITS + math.ceil(2 * math.log2(ERROR / error)))
+
+
+def _places(nodes: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Cell (of all rows in a line) and sign of each node, by row."""
     mixed = (nodes.astype(np.uint64)[None, :] + np.uint64(level << 40) + np.uint64(1)) * _ODD[:, None]
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(29)
-    cell = (mixed >> np.uint64(64 - WIDTH_BITS)).astype(np.int64) + np.arange(ROWS)[:, None] * WIDTH
+    cell = (mixed >> np.uint64(64 - bits)).astype(np.int64) + (np.arange(ROWS)[:, None] << bits)
     return cell, 1 - 2 * ((mixed >> np.uint64(20)) & np.uint64(1)).astype(np.int64)
 
 
 def _pack(cells: np.ndarray) -> bytes:
-    """Cells as bytes: pairs of index and value where few are set, else all values; 4 bytes each where they fit."""
+    """Cells as bytes, after their form and the log of their number: pairs of index and value where few are set, else all values; 4 bytes each where they fit."""
+    size = len(cells).bit_length()
     set_ = np.flatnonzero(cells)
     kind = np.int32 if not len(set_) or np.abs(cells).max() < 2**31 else np.int64
     if len(set_) * 2 < len(cells):
-        return bytes([1 + (kind is np.int64)]) + set_.astype(np.int32).tobytes() + cells[set_].astype(kind).tobytes()
-    return bytes([3 + (kind is np.int64)]) + cells.astype(kind).tobytes()
+        return bytes([1 + (kind is np.int64), size]) + set_.astype(np.int32).tobytes() + cells[set_].astype(kind).tobytes()
+    return bytes([3 + (kind is np.int64), size]) + cells.astype(kind).tobytes()
 
 
 def _add_packed(cells: np.ndarray, packed: bytes) -> None:
     form, kind = packed[0], np.int64 if packed[0] in (2, 4) else np.int32
-    body = memoryview(packed)[1:]
+    if packed[1] != len(cells).bit_length():
+        raise ValueError("sketches made for different errors can't be added")
+    body = memoryview(packed)[2:]
     if form >= 3:
         cells += np.frombuffer(body, kind)
         return
@@ -95,18 +109,18 @@ def _unpack_codes(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return distinct[summed != 0], summed[summed != 0]
 
 
-def _packed_levels(codes: np.ndarray, weights: np.ndarray) -> list[tuple[int, bytes]]:
+def _packed_levels(codes: np.ndarray, weights: np.ndarray, bits: int, exact_codes: int) -> list[tuple[int, bytes]]:
     """(level, cells) of sorted distinct codes: as codes where they are few."""
-    if len(codes) <= FEW:
+    if len(codes) <= exact_codes:
         return [(CODES, _pack_codes(codes, weights))]
-    return [(level, _pack(cells)) for level, cells in sketch_codes(codes, weights)]
+    return [(level, _pack(cells)) for level, cells in sketch_codes(codes, weights, bits)]
 
 
-def _cells(level: int) -> int:
-    return 1 << EXACT_BITS if level == TOP else ROWS * WIDTH
+def _cells(level: int, bits: int) -> int:
+    return 1 << EXACT_BITS if level == TOP else ROWS << bits
 
 
-def sketch_codes(codes: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def sketch_codes(codes: np.ndarray, weights: np.ndarray, bits: int = WIDTH_BITS) -> Iterator[tuple[int, np.ndarray]]:
     """Cells of every level for sorted distinct codes and their weights."""
     for level in range(TOP + 1):
         if level:
@@ -114,14 +128,15 @@ def sketch_codes(codes: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int,
             first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
             codes, weights = codes[first], np.add.reduceat(weights, first) if len(first) else weights
         if level == TOP:
-            yield level, np.bincount(codes, weights, minlength=_cells(level)).astype(np.int64)
+            yield level, np.bincount(codes, weights, minlength=_cells(level, bits)).astype(np.int64)
         else:
-            cell, sign = _places(codes, level)
-            yield level, np.bincount(cell.ravel(), (sign * weights).ravel(), minlength=_cells(level)).astype(np.int64)
+            cell, sign = _places(codes, level, bits)
+            yield level, np.bincount(cell.ravel(), (sign * weights).ravel(), minlength=_cells(level, bits)).astype(np.int64)
 
 
 def descend(levels: dict[int, np.ndarray], shares: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Total weight, the value at each share of it, and the standard error of the ranks in weight."""
+    bits = (len(levels[0]) // ROWS).bit_length() - 1
     top = np.cumsum(levels[TOP])
     total = int(top[-1])
     if total <= 0:
@@ -134,7 +149,7 @@ def descend(levels: dict[int, np.ndarray], shares: np.ndarray) -> tuple[int, np.
     for level in range(TOP - 1, -1, -1):
         cells = levels[level].reshape(-1)
         left = node * 2
-        cell, sign = _places(left, level)
+        cell, sign = _places(left, level, bits)
         guess = np.clip(np.median(cells[cell] * sign, axis=0), 0, inside)
         # what others add to a cell: all but the largest cells, which are single heavy nodes
         noise = np.sort(np.abs(cells))[: len(cells) - len(cells) // 100].astype(np.float64)
@@ -158,13 +173,18 @@ def _schema(df: DataFrame, keys: list[str], column: str) -> T.StructType:
     return T.StructType([*[kinds[k] for k in keys], T.StructField(column, T.StringType()), T.StructField(LEVEL, T.IntegerType()), T.StructField(CELLS, T.BinaryType())])
 
 
-def dyadic_sketches(df: DataFrame, keys: list[str], values: list[str], weight: str | None = None, column: str = "column") -> DataFrame:
+def dyadic_sketches(
+    df: DataFrame, keys: list[str], values: list[str], weight: str | None = None, column: str = "column", error: float = ERROR, exact_codes: int = EXACT_CODES
+) -> DataFrame:
     """(keys, column, __level, __cells): the sketches of each group and value column.
 
     Null and NaN values count for nothing; a null key is a group. ``weight`` names an integer column
     (null: 0), -1 for a deletion; without it each row weighs 1. Sketches are made where the rows are
-    read and added up by key and level; tasks hold a bounded number of weights.
+    read and added up by key and level; tasks hold a bounded number of weights. ``error`` is the rank
+    error aimed at; sketches of different errors can't be added. A group of at most ``exact_codes``
+    different codes is stored as those, which is its finest level without a collision; 0 stores cells always.
     """
+    bits = width_bits(error)
     schema = _schema(df, keys, column)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +208,7 @@ def dyadic_sketches(df: DataFrame, keys: list[str], values: list[str], weight: s
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 key, value = names[int(groups[a]) // len(values)], values[int(groups[a]) % len(values)]
-                rows = [(*key, value, *packed) for packed in _packed_levels(codes[0][a:b] & ((1 << CODE_BITS) - 1), weights[0][a:b])]
+                rows = [(*key, value, *packed) for packed in _packed_levels(codes[0][a:b] & ((1 << CODE_BITS) - 1), weights[0][a:b], bits, exact_codes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=schema.names)
             codes, weights, held = [], [], 0
 
@@ -221,14 +241,16 @@ def dyadic_sketches(df: DataFrame, keys: list[str], values: list[str], weight: s
 
     weighed = F.lit(1).cast("bigint") if weight is None else F.coalesce(F.col(f"`{weight}`").cast("bigint"), F.lit(0))
     chosen = df.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{v}`").cast("double").alias(f"v{i}") for i, v in enumerate(values)], weighed.alias("__weight"))
-    return add_sketches(chosen.mapInArrow(build, schema), keys, column)
+    return add_sketches(chosen.mapInArrow(build, schema), keys, column, error, exact_codes)
 
 
-def add_sketches(parts: DataFrame, keys: list[str], column: str = "column") -> DataFrame:
+def add_sketches(parts: DataFrame, keys: list[str], column: str = "column", error: float = ERROR, exact_codes: int = EXACT_CODES) -> DataFrame:
     """Sketches of the (coarser) ``keys``: the sums of those of ``parts``, one set of cells in memory at a time.
 
-    A group may have both cells and codes; ``percentiles`` and later sums take them together.
+    A group may have both cells and codes; ``percentiles`` and later sums take them together. Sketches
+    made for another ``error`` are a ValueError.
     """
+    bits = width_bits(error)
     schema = _schema(parts, keys, column)
     by = [*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`"), F.col(LEVEL)]
 
@@ -239,7 +261,7 @@ def add_sketches(parts: DataFrame, keys: list[str], column: str = "column") -> D
             if now is None:
                 return
             if now[-1] == CODES:
-                done.extend((*now[:-1], *packed) for packed in _packed_levels(*_unpack_codes(held)))
+                done.extend((*now[:-1], *packed) for packed in _packed_levels(*_unpack_codes(held), bits, exact_codes))
             else:
                 done.append((*now, _pack(cells)))
 
@@ -256,7 +278,7 @@ def add_sketches(parts: DataFrame, keys: list[str], column: str = "column") -> D
                     if len(done) >= 256:
                         yield full()
                     now, held = row[:-1], []
-                    cells = np.zeros(_cells(row[-2]), np.int64) if row[-2] != CODES else None
+                    cells = np.zeros(_cells(row[-2], bits), np.int64) if row[-2] != CODES else None
                 if row[-2] == CODES:
                     held.append(row[-1])
                     if len(held) % 1024 == 0:
@@ -270,7 +292,7 @@ def add_sketches(parts: DataFrame, keys: list[str], column: str = "column") -> D
     return parts.select(*by, CELLS).repartition(*by).sortWithinPartitions(*by).mapInArrow(add, schema)
 
 
-def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], column: str = "column") -> DataFrame:
+def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], column: str = "column", error: float = ERROR) -> DataFrame:
     """(keys, column, share, value, weight, rank_error) from the summed sketches of ``keys``.
 
     ``value`` is the least value at or above which ``share`` of the weight has been met; null where the
@@ -282,7 +304,7 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], colum
     )
     if clash := {*keys, column} & {"share", "value", "weight", "rank_error"} or len({*keys, column}) <= len(keys):
         raise ValueError(f"keys named like results, or twice: {clash}")
-    wanted = np.array(shares, np.float64)
+    wanted, bits = np.array(shares, np.float64), width_bits(error)
     by = [*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`")]
     width = len(by)
 
@@ -291,7 +313,7 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], colum
             total, value = exact(*_unpack_codes(codes), wanted)
             return total, value, np.full(len(wanted), 1 / max(total, 1))
         if codes:
-            for level, cells in sketch_codes(*_unpack_codes(codes)):
+            for level, cells in sketch_codes(*_unpack_codes(codes), bits):
                 levels[level] = levels.get(level, 0) + cells
         total, value, error = descend(levels, wanted)
         return total, value, (3 * error + 1) / max(total, 1)
@@ -328,7 +350,7 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], colum
                     codes.append(packed)
                 else:
                     if level not in levels:
-                        levels[level] = np.zeros(_cells(level), np.int64)
+                        levels[level] = np.zeros(_cells(level, bits), np.int64)
                     _add_packed(levels[level], packed)
         if now is not None:
             names.append(now)

@@ -91,6 +91,19 @@ def p3_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(dyadic_sketches(sales, ["category"], ["revenue", "discount_percent"]), ["category"], SHARES)
 
 
+def p3_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each category and column: percentiles of all batches, and those whose share lies within the stated error of the share that all rows give."""
+    sales = table(spark, sf_dir, "clean_sales").select("batch_id", "category", "revenue", "discount_percent")
+    found = cut_lineage(percentiles(add_sketches(dyadic_sketches(sales, ["batch_id", "category"], ["revenue", "discount_percent"]), ["category"]), ["category"], SHARES))
+    long = sales.select("category", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("revenue", "discount_percent")])).alias("p"))
+    long = long.select(F.col("category").alias("c"), F.col("p.column").alias("n"), "p.v").where("v IS NOT NULL AND NOT isnan(v)")
+    met = long.join(F.broadcast(found.where("value IS NOT NULL")), F.col("category").eqNullSafe(F.col("c")) & (F.col("column") == F.col("n")))
+    code = F.abs("value") * 2.0**-15
+    ranked = met.groupBy("category", "column", "share", "rank_error").agg((F.count_if(F.col("v") < F.col("value") - code) / F.count("v")).alias("low"), (F.count_if(F.col("v") <= F.col("value") + code) / F.count("v")).alias("high"))
+    near = (F.col("low") - F.col("rank_error") <= F.col("share")) & (F.col("share") <= F.col("high") + F.col("rank_error"))
+    return ranked.groupBy("category", "column").agg(F.count(F.lit(1)).alias("shares"), F.count_if(near).alias("within"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical entry of each freely typed category and region of raw_sales, or UNKNOWN."""
     sales = table(spark, sf_dir, "raw_sales").select("row_id", "category", "region")
@@ -140,6 +153,6 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_garbled(pages, "text", train_on(pages, "text")).where("garbled_chars > 0").drop("text")
 
 
-QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p1_within_error": p1_within_error, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_whole_table": p3_whole_table, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_distinct_orders": p1_distinct_orders, "p1_batches_merged": p1_batches_merged, "p1_within_error": p1_within_error, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_whole_table": p3_whole_table, "p3_within_error": p3_within_error, "p4_found": p4_found, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
-SQL = {"p1_within_error": sql.P1_WITHIN_ERROR, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}
+SQL = {"p1_within_error": sql.P1_WITHIN_ERROR, "p2_found": sql.P2_FOUND, "p3_within_error": sql.P3_WITHIN_ERROR, "p4_found": sql.P4_FOUND, "p6_found": sql.P6_FOUND}

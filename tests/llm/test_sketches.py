@@ -123,3 +123,24 @@ def test_nulls_nan_and_nothing(spark):
     assert Q.percentiles(Q.dyadic_sketches(df.where("false"), ["level"], ["v"]), ["level"], [0.5]).count() == 0
     with pytest.raises(ValueError, match="named like results"):
         Q.percentiles(Q.dyadic_sketches(df.withColumnRenamed("level", "share"), ["share"], ["v"]), ["share"], [0.5])
+
+
+def test_error_is_chosen_and_never_mixed(spark, values):
+    truth = {}
+    for r in values.collect():
+        truth.setdefault(r.k, []).append(r.v)
+    shares = [0.1, 0.5, 0.99]
+    fine = Q.percentiles(Q.dyadic_sketches(values, ["k"], ["v"], error=0.005, exact_codes=0), ["k"], shares, error=0.005).collect()
+    coarse = Q.percentiles(Q.dyadic_sketches(values, ["k"], ["v"], error=0.1, exact_codes=0), ["k"], shares, error=0.1).collect()
+    rank_errors(fine, truth)
+    assert max(r.rank_error for r in fine) < min(r.rank_error for r in coarse) / 3
+    with pytest.raises(Exception, match="different errors"):
+        Q.percentiles(Q.dyadic_sketches(values, ["k"], ["v"], error=0.005, exact_codes=0), ["k"], shares).collect()
+    assert Q.width_bits() == Q.WIDTH_BITS and Q.width_bits(0.015) == Q.WIDTH_BITS + 2
+
+
+def test_small_groups_by_cells_as_by_codes(spark):
+    rows = spark.createDataFrame([(k, float(v)) for k in range(3) for v in range(1, 30)], "k int, v double")
+    shares = [0.1, 0.5, 0.9]
+    by = [Q.percentiles(Q.dyadic_sketches(rows, ["k"], ["v"], exact_codes=n), ["k"], shares).orderBy("k", "share").collect() for n in (0, 400)]
+    assert all(abs(a.value - b.value) <= 1 and a.weight == b.weight for a, b in zip(*by))
