@@ -17,8 +17,10 @@ YEARS = (1678, 2261)
 
 
 def normalise_string(column: Column) -> Column:
-    """Text without Unicode white space around it; null becomes empty."""
-    return F.btrim(F.coalesce(column.cast("string"), F.lit("")), F.lit(WHITE_SPACE))
+    """Text without Unicode white space around it; null becomes empty. A text between two visible ASCII characters is left as it is."""
+    text = F.coalesce(column.cast("string"), F.lit(""))
+    trimmed = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)
+    return F.when(trimmed, text).otherwise(F.btrim(text, F.lit(WHITE_SPACE)))
 
 
 def number_of(text: Column) -> Column:

@@ -6,6 +6,8 @@ parallel and comes out the same again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from sluicebox.schemas import RAW_COLUMNS
 #: Nouns and makers that product names are put together from.
 THINGS = ("Charger", "Kettle", "Jacket", "Backpack", "Lamp", "Notebook", "Drill", "Puzzle", "Guitar", "Blender", "Tent", "Scarf", "Mug", "Monitor", "Rug", "Bottle", "Saw", "Collar", "Ring")
 MAKERS = ("Orvane", "Keltis", "Brumo", "Sandre", "Tivoli", "Harlo", "Penrix")
+COLOURS, SIZES = ("Black", "Blue", "Red", "Sand"), ("S", "M", "XL", "500ml", "2-Pack")
+LETTERS, KEY_ROWS = "abcdefghijklmnopqrstuvwxyz", ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 DOMAINS = ("mail.example", "post.example", "shop.test", "office.example.org")
 DATE_PATTERNS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")
 #: Odd quantities of dirty feeds, beside whole ones.
@@ -39,25 +43,47 @@ class OrderGenerator:
         return F.when(self._draw(what) < share, odd).otherwise(usual) if self.dirty else usual
 
     def typo(self, text: Column, what: str, share: float) -> Column:
-        """One slip with probability ``share``: a letter dropped, doubled, swapped with the next, in the other case, or a space lost."""
+        """One slip with probability ``share``, of nine kinds alike.
+
+        A letter is dropped, doubled, swapped with the next, put in the other case, replaced by its
+        neighbour on the keyboard or by any letter, or a letter is put in; or a space is lost, or doubled.
+        """
         at = (F.floor(self._draw(what + "at") * F.greatest(F.length(text) - 1, F.lit(1))) + 1).cast("int")
         head, one, two, tail = text.substr(F.lit(1), at - 1), text.substr(at, F.lit(1)), text.substr(at + 1, F.lit(1)), text.substr(at + 2, F.length(text))
-        kind = F.floor(self._draw(what + "kind") * 5)
-        slip = (
-            F.when(kind == 0, F.concat(head, two, tail))
-            .when(kind == 1, F.concat(head, one, one, two, tail))
-            .when(kind == 2, F.concat(head, two, one, tail))
-            .when(kind == 3, F.concat(head, F.when(F.lower(one) == one, F.upper(one)).otherwise(F.lower(one)), two, tail))
-            .otherwise(F.replace(text, F.lit(" "), F.lit("")))
+        any_letter = F.substring(F.lit(LETTERS), (F.floor(self._draw(what + "letter") * len(LETTERS)) + 1).cast("int"), F.lit(1))
+        beside = F.translate(F.lower(one), "".join(KEY_ROWS), "".join(row[1:] + row[-2] for row in KEY_ROWS))
+        slips = (
+            F.concat(head, two, tail),
+            F.concat(head, one, one, two, tail),
+            F.concat(head, two, one, tail),
+            F.concat(head, F.when(F.lower(one) == one, F.upper(one)).otherwise(F.lower(one)), two, tail),
+            F.concat(head, beside, two, tail),
+            F.concat(head, any_letter, two, tail),
+            F.concat(head, one, any_letter, two, tail),
+            F.replace(text, F.lit(" "), F.lit("")),
+            F.concat(head, one, F.lit(" "), two, tail),
         )
+        kind = F.floor(self._draw(what + "kind") * len(slips)).cast("int")
+        slip = reduce(lambda rest, i: F.when(kind == i, slips[i]).otherwise(rest), range(len(slips) - 1), slips[-1])
         return F.when((F.length(text) >= 2) & (self._draw(what) < share), slip).otherwise(text)
 
+    def product(self) -> Column:
+        """A product of the catalogue: a maker and a thing, or one of its variants in case, spacing, colour, size or order."""
+        maker, thing = self._pick("maker", MAKERS), self._pick("product", THINGS)
+        plain = F.concat_ws(" ", maker, thing)
+        variants = (
+            F.lower(plain), F.upper(plain), F.replace(plain, F.lit(" "), F.lit("")), F.replace(plain, F.lit(" "), F.lit("-")), F.replace(plain, F.lit(" "), F.lit("_")),
+            F.concat_ws(" ", plain, self._pick("colour", COLOURS)), F.concat_ws(" ", plain, self._pick("size", SIZES)), F.concat_ws(" ", thing, maker),
+        )
+        which = F.floor(self._draw("variant") * len(variants) * 2).cast("int")
+        return reduce(lambda rest, i: F.when(which == i, variants[i]).otherwise(rest), range(len(variants)), plain)
+
     def rows(self, count: int) -> DataFrame:
         ids = self.spark.range(count)
         order = F.format_string("ORD-%09d", F.col("id"))
         again = F.format_string("ORD-%09d", F.floor(F.col("id") * self._draw("again")))
         category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.floor(self._draw("product") * len(THINGS)) + 1).cast("int"))
-        product = F.concat_ws(" ", self._pick("maker", MAKERS), self._pick("product", THINGS))
+        product = self.product()
         discount = F.when(self._draw("on sale") < 0.4, F.round(0.05 + self._draw("discount") * 0.4, 3)).otherwise(F.lit(0.0))
         odd_discount = F.when(self._draw("bad") < 0.17, F.round(self._draw("wild") * 2.6 - 0.1, 2)).otherwise(F.round(0.85 + self._draw("heavy") * 0.14, 2))
         discount = self._rare("odd discount", 0.06, odd_discount, discount)

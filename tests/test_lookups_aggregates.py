@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicebox.operators import aggregates, explore, lookups
+from sluicebox.operators.generator import OrderGenerator
 from sluicebox.operators.names import normalise_product_name
 from sluicebox.schemas import AGGREGATE_COLUMNS, CLEAN_SCHEMA
 
@@ -114,3 +115,51 @@ def test_explore(spark, small):
     assert [r.category for r in explore.options(small, "category").collect()] == ["Kitchen", "Office"]
     with pytest.raises(ValueError, match="limit"):
         explore.best_sellers(small, "revenue", limit=0)
+
+
+def test_generator_makes_every_slip_and_variant(spark):
+    made = OrderGenerator(spark, seed=5)
+    words = spark.range(4000).select(made.typo(F.lit("Big Lamp"), "w", 1.0).alias("w"))
+    found = {r.w for r in words.distinct().collect()}
+    kinds = {"Bi Lamp", "Bigg Lamp", "iBg Lamp", "big Lamp", "BigLamp", "Bi g Lamp", "Big kamp"}
+    assert kinds - found == set() and len(found) > 100
+    assert {len(w) for w in found} == {7, 8, 9}
+    products = [r.p for r in spark.range(3000).select(made.product().alias("p")).collect()]
+    assert 0.4 < sum(p.istitle() and " " in p for p in products) / 3000 < 0.9 and any(p.isupper() for p in products) and any("_" in p for p in products)
+    again = [r.p for r in spark.range(3000).select(OrderGenerator(spark, seed=5).product().alias("p")).collect()]
+    assert again == products
+
+
+def test_generator_rates(spark):
+    rows = OrderGenerator(spark, seed=6).rows(20_000).persist()
+    share = lambda condition: rows.where(condition).count() / 20_000
+    assert 0.005 < 1 - rows.select("order_id").distinct().count() / 20_000 < 0.02
+    assert 0.08 < share("sale_date IN ('', 'NULL', 'N/A')") < 0.12 and 0.12 < share("customer_email IN ('', 'NULL', 'N/A')") < 0.17
+    assert 0.11 < share("quantity IN ('0', '-1', '50', 'two', 'many', 'N/A', '3.5', '')") < 0.19
+    clean = OrderGenerator(spark, seed=6, dirty=False).rows(2000)
+    assert clean.where("sale_date = '' OR NOT quantity RLIKE '^[1-9][0-9]*$' OR customer_email NOT LIKE '%@%.%'").isEmpty()
+    rows.unpersist()
+
+
+def test_sorted_aggregates(spark, sf_dir):
+    from sluicebox.operators import aggregates as A
+
+    clean = spark.read.parquet(f"{sf_dir}/clean_sales.parquet")
+    months = [r.month for r in A.monthly_sales_summary(clean).collect()]
+    assert months == sorted(months)
+    by = [(-r.total_revenue, r.region) for r in A.region_wise_performance(clean).collect()]
+    assert by == sorted(by)
+    shares = [(-r.avg_discount_percent, r.category) for r in A.top_categories(clean).collect()]
+    assert shares == sorted(shares)
+
+
+def test_long_lists_are_joined_as_short_ones_are_written_out(spark, monkeypatch):
+    from sluicebox.operators import lookups as L
+
+    values = ["Kitchen", "kichen", "Kitchn!", "Ofice", "", None, "zzz", "Bookss", "oks"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    regions = spark.createDataFrame([(i, v) for i, v in enumerate(["mumbay", "Bombay", "DEHLI", "x", None])], "i int, v string")
+    short = [L.resolve_fuzzy(rows, "v", L.category_table(spark), "c").orderBy("i").collect(), L.resolve_region(regions, "v", L.region_table(spark), "c").orderBy("i").collect()]
+    monkeypatch.setattr(L, "INLINE", 3)
+    long = [L.resolve_fuzzy(rows, "v", L.category_table(spark), "c").orderBy("i").select("i", "v", "c").collect(), L.resolve_region(regions, "v", L.region_table(spark), "c").orderBy("i").select("i", "v", "c").collect()]
+    assert short == long and [r.c for r in short[0]][:4] == ["Kitchen", "Kitchen", "Kitchen", "Office"]
