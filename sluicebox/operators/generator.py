@@ -79,11 +79,12 @@ class OrderGenerator:
         return reduce(lambda rest, i: F.when(which == i, variants[i]).otherwise(rest), range(len(variants)), plain)
 
     def rows(self, count: int) -> DataFrame:
-        ids = self.spark.range(count)
+        thing = F.floor(self._draw("product") * len(THINGS)) + 1
+        ids = self.spark.range(count).select("id", self.product().alias("product"), F.element_at(F.array(*map(F.lit, CATEGORIES)), thing.cast("int")).alias("own"))
+        if self.dirty:  # names are made first and spoilt after, so that neither expression is repeated in the other
+            ids = ids.withColumns({"product": self.typo(F.col("product"), "name typo", 0.05), "own": self.typo(F.col("own"), "category typo", 0.02)})
         order = F.format_string("ORD-%09d", F.col("id"))
         again = F.format_string("ORD-%09d", F.floor(F.col("id") * self._draw("again")))
-        category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.floor(self._draw("product") * len(THINGS)) + 1).cast("int"))
-        product = self.product()
         discount = F.when(self._draw("on sale") < 0.4, F.round(0.05 + self._draw("discount") * 0.4, 3)).otherwise(F.lit(0.0))
         odd_discount = F.when(self._draw("bad") < 0.17, F.round(self._draw("wild") * 2.6 - 0.1, 2)).otherwise(F.round(0.85 + self._draw("heavy") * 0.14, 2))
         discount = self._rare("odd discount", 0.06, odd_discount, discount)
@@ -100,8 +101,8 @@ class OrderGenerator:
         revenue = F.round(price * F.greatest(number, F.lit(0)) * (1 - F.least(F.greatest(discount, F.lit(0.0)), F.lit(1.0))), 2)
         made = ids.select(
             self._rare("reused", 0.01, again, order).alias("order_id"),
-            self.typo(product, "name typo", 0.05 if self.dirty else 0.0).alias("product_name"),
-            self._rare("wrong category", 0.10, self._pick("other", CATEGORIES), self.typo(category, "category typo", 0.02 if self.dirty else 0.0)).alias("category"),
+            F.col("product").alias("product_name"),
+            self._rare("wrong category", 0.10, self._pick("other", CATEGORIES), F.col("own")).alias("category"),
             quantity.alias("quantity"),
             price.cast("string").alias("unit_price"),
             discount.cast("string").alias("discount_percent"),
