@@ -50,9 +50,9 @@ INLINE = 200
 
 
 def short_list(df: DataFrame, columns: list[str]) -> list[tuple] | None:
-    """Distinct rows of ``columns`` if they are at most INLINE, else None."""
-    found = df.select(*columns).distinct().limit(INLINE + 1).collect()
-    return [tuple(row) for row in found] if len(found) <= INLINE else None
+    """Distinct rows of ``columns`` if there are at most INLINE rows, else None. A list that repeats itself beyond that is joined."""
+    found = df.select(*columns).limit(INLINE + 1).collect()
+    return list(dict.fromkeys(tuple(row) for row in found)) if len(found) <= INLINE else None
 
 
 def nearest_of(text: Column, names: list[str], most: int = 2) -> Column:

@@ -99,3 +99,14 @@ def test_empty_and_lacking_columns(spark):
     assert judge(spark, [{}]).where("false").count() == 0
     with pytest.raises(ValueError, match="lack"):
         cleaning.judge_orders(spark.range(1), lookups.category_table(spark), lookups.region_table(spark), cleaning.CleanConfig(as_of="2024-12-31"))
+
+
+def test_a_feed_is_judged_in_few_jobs(spark):
+    """One pass judges every row, one pre-aggregates the keys; nothing reads the source again."""
+    raw = spark.createDataFrame(OrderGenerator(spark, seed=4).rows(500).collect()).withColumn("row_index", F.monotonically_increasing_id())
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    judged = cleaning.judge_orders(raw, lookups.category_table(spark), lookups.region_table(spark), cleaning.CleanConfig(as_of="2024-12-31"))
+    judged.write.format("noop").mode("overwrite").save()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 14
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "LocalTableScan" not in plan and "BatchEval" not in plan
