@@ -244,7 +244,7 @@ def data_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule of the funnel on rows of clean_sales, of which some are given a price, a date or an amount out of range."""
     rows = _clean(spark, sf_dir).where("category IS NOT NULL AND region IS NOT NULL")
-    rows = rows.withColumn("row_index", F.row_number().over(Window.partitionBy("batch_id").orderBy(*[c for c in rows.columns if c != "batch_id"])) + F.col("batch_id") * 1_000_000)
+    rows = rows.withColumn("row_index", F.row_number().over(Window.partitionBy("batch_id").orderBy(*[c for c in rows.columns if c != "batch_id"])) + F.col("batch_id").cast("bigint") * 1_000_000)
     turn = F.pmod("row_index", F.lit(10))
     price = F.when(turn == 1, F.lit("0")).when(turn == 2, F.lit("50000")).when(turn == 3, F.lit("49999.99")).otherwise(F.col("unit_price").cast("decimal(18,2)").cast("string"))
     quantity = F.when(turn == 3, F.lit("21")).when(turn == 4, F.lit("-2")).otherwise(F.col("quantity").cast("string"))

@@ -20,6 +20,15 @@ def test_query(name, spark, sf_dir, duck):
     assert rows_of(got) == rows_of(want)
 
 
+def test_all_rules_of_late_batches(spark, sf_dir, duck, tmp_path):
+    # times a million these batch numbers are beyond int
+    duck.execute(f"COPY (SELECT * REPLACE (CAST(batch_id + 3000 AS INTEGER) AS batch_id) FROM clean_sales) TO '{tmp_path}/clean_sales.parquet' (FORMAT parquet)")
+    got = core_queries.all_rules(spark, str(tmp_path)).toPandas()
+    want = duck.execute(core_sql.SQL["all_rules"]).df()
+    want["row_index"] += 3_000_000_000
+    assert len(got) and rows_of(got) == rows_of(want)
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__
 
